@@ -129,3 +129,27 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     low = now.select(F.col("src").alias("node"), F.col("dst").alias("root"))
     return low.unionByName(low.select(F.col("root").alias("node"), "root")).distinct()
+
+
+#: Rows of a bucket that one kernel compares with each other; larger buckets are split into pairs of blocks.
+BUCKET_ROWS = 20_000
+UNIT_BITS = 20
+
+
+def dealt(rows: DataFrame, counted: DataFrame, ident: str, most: int = BUCKET_ROWS) -> DataFrame:
+    """Deal ``rows`` so that equal ``key`` (below 2**43) meet, in units of bounded size: adds ``run`` and ``block``.
+
+    ``counted`` has the keys (one row each time) whose number decides. A bucket of more than ``most`` is cut into
+    blocks by the hash of ``ident``; each pair of blocks is a unit of its own, so every two rows of a bucket meet in
+    some unit, and in exactly one if their blocks differ. Returns rows dealt and sorted by ``run``, then ``ident``.
+    """
+    hot = written(counted.groupBy("key").count().where(F.col("count") > most).select("key", F.least(F.ceil(F.col("count") / most), F.lit(1 << UNIT_BITS // 2)).cast("int").alias("blocks")), "hot")
+    n = F.coalesce("blocks", F.lit(1))
+    block = F.pmod(F.xxhash64(ident), n).cast("int")
+    with_ = F.sequence(F.lit(0), n - 1)
+    units = F.transform(with_, lambda c: F.least(c, F.col("block")) * n + F.greatest(c, F.col("block")))
+    split = rows.join(hot, "key", "left").withColumn("block", block).withColumn("unit", F.explode(F.when(n == 1, F.array(F.lit(0))).otherwise(units)))
+    split = split.withColumn("run", F.shiftleft("key", UNIT_BITS).bitwiseOR(F.col("unit").cast("long")))
+    # within a unit of two blocks only rows of different blocks are new to each other
+    split = split.withColumn("block", F.when(F.expr("unit % coalesce(blocks, 1) = unit div coalesce(blocks, 1)"), F.lit(-1)).otherwise(F.col("block")))
+    return split.drop("key", "blocks", "unit").repartition("run").sortWithinPartitions("run", ident)

@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
+from .embedding_dedup import op8_embedding_dedup
+from .mixing import op6_mixing
 from .simhash_dedup import op1_simhash
+from .syncmers import op5_syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op5_syncmers": op5_syncmers,
+    "op6_mixing": op6_mixing,
+    "op8_embedding_dedup": op8_embedding_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}
