@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing
 from .embedding_dedup import op8_embedding_dedup
+from .language_id import op10_language
 from .mixing import op6_mixing
+from .quality_gam import op4_quality
 from .simhash_dedup import op1_simhash
 from .syncmers import op5_syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op4_quality": op4_quality,
     "op5_syncmers": op5_syncmers,
     "op6_mixing": op6_mixing,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op10_language": op10_language,
 }
 
 ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}
