@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import license_scan, mixing
 from .embedding_dedup import op8_embedding_dedup
 from .language_id import op10_language
+from .license_scan import op9_licenses
 from .mixing import op6_mixing
 from .quality_gam import op4_quality
 from .simhash_dedup import op1_simhash
@@ -20,7 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_syncmers": op5_syncmers,
     "op6_mixing": op6_mixing,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_licenses": op9_licenses,
     "op10_language": op10_language,
 }
 
-ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op9_licenses": license_scan.oracle()}
