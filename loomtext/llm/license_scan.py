@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ENDS = r"[.!?;]+[\x20\x09-\x0D]+"
 # Licences, and the names that notices give them.
 NAMES = {
     "MIT": ("MIT License", "MIT Licence", "MIT"),
@@ -87,7 +87,7 @@ TEXTS = {
 
 
 def normal_sentence(text: str) -> str:
-    return re.sub("[^a-z0-9]+", " ", text.translate(str.maketrans(UPPER, LOWER))).strip()
+    return re.sub("[^A-Za-z0-9]+", " ", text).lower().strip()
 
 
 def rules() -> tuple[list[str], list[tuple[str, list[int]]]]:
@@ -106,16 +106,18 @@ def rules() -> tuple[list[str], list[tuple[str, list[int]]]]:
     return list(known), found
 
 
-def sentence_ids(text: Column, known: list[str], lines: bool) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
-    ends = r"[.!?;]+\s+|\n" if lines else r"[.!?;]+\s+"
-    t = F.regexp_replace(F.translate(text, UPPER, LOWER), ends, "\x01")
-    t = F.regexp_replace(t, "[^a-z0-9\x01]+", " ")
-    sentences = F.split(F.trim(t), " *\x01[ \x01]*")
-    least, most = min(map(len, known)), max(map(len, known))
-    starts = "^(" + "|".join(sorted({s[:6] for s in known})) + ")"  # spares most sentences the look-up
+def _opening(known: list[str], lines: bool) -> str:
+    """Pattern of the sentences that open with the first word of a known one; \\x01 stands for a sentence end."""
+    words = "|".join(sorted({s.split()[0] for s in known}))
+    end = r"\x01\n" if lines else r"\x01"
+    return rf"(?i)(?:^|[{end}])[^A-Za-z0-9{end}]*((?:{words})[^{end}]*)"
+
+
+def sentence_ids(cut: Column, known: list[str], lines: bool) -> Column:
+    """Identifiers of the known sentences, in order, of a text whose sentence ends are \\x01."""
     table_ = F.array(*(F.lit(s) for s in known))
-    at = F.transform(F.filter(sentences, lambda s: F.length(s).between(least, most) & s.rlike(starts)), lambda s: F.array_position(table_, s))
+    plain = lambda s: F.trim(F.lower(F.regexp_replace(s, "[^A-Za-z0-9]+", " ")))
+    at = F.transform(F.regexp_extract_all(cut, F.lit(_opening(known, lines)), F.lit(1)), lambda s: F.array_position(table_, plain(s)))
     return F.filter(at, lambda i: i > 0)
 
 
@@ -135,8 +137,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ignored. Licences stand in code-point order, each once.
     """
     known, found = rules()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.select(F.col(id_col).alias("id"), sentence_ids(text, known, True).alias("sentence_ids"), sentence_ids(text, known, False).alias("wrapped_ids"))
+    cut = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), ENDS, "\x01").alias("cut")
+    out = docs.select(F.col(id_col).alias("id"), cut)
+    out = out.select("id", sentence_ids(F.col("cut"), known, True).alias("sentence_ids"), sentence_ids(F.col("cut"), known, False).alias("wrapped_ids"))
     both = F.array_sort(F.array_union(_contains(F.col("sentence_ids"), found), _contains(F.col("wrapped_ids"), found)))
     return out.withColumn("licenses", both)
 
@@ -155,16 +158,18 @@ def oracle() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quoted(s)}, {i})" for i, s in enumerate(known, 1))
     seqs = ", ".join(f"({quoted(licence)}, '|{'|'.join(map(str, seq))}|')" for licence, seq in found)
-    lower = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
-    reading = lambda ends: rf"string_split_regex(trim(regexp_replace(regexp_replace({lower}, '{ends}', chr(1), 'g'), '[^a-z0-9\x01]+', ' ', 'g'), ' '), ' *\x01[ \x01]*')"
+    cut = f"regexp_replace(coalesce(text, ''), '{ENDS}', chr(1), 'g')"
+    plain = "trim(lower(regexp_replace(piece, '[^A-Za-z0-9]+', ' ', 'g')), ' ')"
+    reading = lambda lines: f"regexp_extract_all({cut}, '{_opening(known, lines)}', 1)"
     return rf"""
 WITH known(sentence, id) AS (VALUES {values}), rules(licence, seq) AS (VALUES {seqs}),
 texts AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 pieces AS (
-    SELECT r, 1 AS kind, unnest(p) AS sentence, unnest(range(len(p))) AS place FROM (SELECT r, {reading(r'[.!?;]+\s+|\n')} AS p FROM texts)
+    SELECT r, 1 AS kind, unnest(p) AS piece, unnest(range(len(p))) AS place FROM (SELECT r, {reading(True)} AS p FROM texts)
     UNION ALL
-    SELECT r, 2 AS kind, unnest(p) AS sentence, unnest(range(len(p))) AS place FROM (SELECT r, {reading(r'[.!?;]+\s+')} AS p FROM texts)),
-paths AS (SELECT r, kind, count(*) AS n, string_agg(CAST(id AS VARCHAR), '|' ORDER BY place) AS path FROM pieces JOIN known USING (sentence) GROUP BY r, kind),
+    SELECT r, 2 AS kind, unnest(p) AS piece, unnest(range(len(p))) AS place FROM (SELECT r, {reading(False)} AS p FROM texts)),
+sentences AS (SELECT r, kind, place, {plain} AS sentence FROM pieces),
+paths AS (SELECT r, kind, count(*) AS n, string_agg(CAST(id AS VARCHAR), '|' ORDER BY place) AS path FROM sentences JOIN known USING (sentence) GROUP BY r, kind),
 hits AS (SELECT DISTINCT r, licence FROM paths, rules WHERE contains('|' || path || '|', seq)),
 named AS (SELECT r, string_agg(licence, ',' ORDER BY licence) AS licenses FROM hits GROUP BY r)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_known, coalesce(replace(path, '|', ','), '') AS sentences, coalesce(licenses, '') AS licenses
