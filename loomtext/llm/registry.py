@@ -11,12 +11,14 @@ from .embedding_dedup import op8_embedding_dedup
 from .language_id import op10_language
 from .license_scan import op9_licenses
 from .mixing import op6_mixing
+from .pii_spans import op2_pii
 from .quality_gam import op4_quality
 from .simhash_dedup import op1_simhash
 from .syncmers import op5_syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_pii": op2_pii,
     "op4_quality": op4_quality,
     "op5_syncmers": op5_syncmers,
     "op6_mixing": op6_mixing,
