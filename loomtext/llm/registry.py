@@ -13,12 +13,14 @@ from .license_scan import op9_licenses
 from .mixing import op6_mixing
 from .pii_spans import op2_pii
 from .quality_gam import op4_quality
+from .sentencepiece_dropout import op3_sentencepiece
 from .simhash_dedup import op1_simhash
 from .syncmers import op5_syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_quality": op4_quality,
     "op5_syncmers": op5_syncmers,
     "op6_mixing": op6_mixing,
