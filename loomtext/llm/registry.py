@@ -15,6 +15,7 @@ from .pii_spans import op2_pii
 from .quality_gam import op4_quality
 from .sentencepiece_dropout import op3_sentencepiece
 from .simhash_dedup import op1_simhash
+from .suffix_tree_lm import op7_suffix_tree
 from .syncmers import op5_syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_syncmers": op5_syncmers,
     "op6_mixing": op6_mixing,
+    "op7_suffix_tree": op7_suffix_tree,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_licenses": op9_licenses,
     "op10_language": op10_language,
