@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import concordance, exports, reuse, scoring, titles  # noqa: F401  they register their queries
+from .plans.registry import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     return QUERIES
 
 
