@@ -99,20 +99,20 @@ def mix(
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents as the mix takes them: whole repetitions as repeated rows, a part as a shortened text."""
-    same = Window.partitionBy("_id", "_size")
-    amounts = mix(docs, **options).select(F.col("id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    amounts = amounts.withColumn("_twin", F.row_number().over(same.orderBy("_taken")))  # rows with equal id and size stay apart
+    same = Window.partitionBy("_lt_id", "_lt_size")
+    amounts = mix(docs, **options).select(F.col("id").alias("_lt_id"), F.col("size").alias("_lt_size"), F.col("taken").alias("_lt_taken"))
+    amounts = amounts.withColumn("_lt_twin", F.row_number().over(same.orderBy("_lt_taken")))  # rows with equal id and size stay apart
     text = F.col("text")
     words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
-    rest = (F.col("_taken") - F.col("_turn") * F.col("_size")).cast("int")
+    rest = (F.col("_lt_taken") - F.col("_lt_turn") * F.col("_lt_size")).cast("int")
     out = (
-        docs.withColumn("_id", F.col("doc_id")).withColumn("_size", word_count(text))
-        .withColumn("_twin", F.row_number().over(same.orderBy("text")))
+        docs.withColumn("_lt_id", F.col("doc_id")).withColumn("_lt_size", word_count(text))
+        .withColumn("_lt_twin", F.row_number().over(same.orderBy("text")))
         .alias("d")
-        .join(amounts.where("_taken > 0").alias("a"), F.expr("d._id <=> a._id and d._size = a._size and d._twin = a._twin"))
-        .select("d.*", "a._taken")
-        .withColumn("_turn", F.explode(F.sequence(F.lit(0), F.expr("cast(ceil(_taken / _size) as int) - 1"))))
-        .withColumn("text", F.when((F.col("_turn") + 1) * F.col("_size") <= F.col("_taken"), text).otherwise(F.array_join(F.slice(words, 1, F.greatest(rest, F.lit(1))), " ")))
+        .join(amounts.where("_lt_taken > 0").alias("a"), F.expr("d._lt_id <=> a._lt_id and d._lt_size = a._lt_size and d._lt_twin = a._lt_twin"))
+        .select("d.*", "a._lt_taken")
+        .withColumn("_lt_turn", F.explode(F.sequence(F.lit(0), F.expr("cast(ceil(_lt_taken / _lt_size) as int) - 1"))))
+        .withColumn("text", F.when((F.col("_lt_turn") + 1) * F.col("_lt_size") <= F.col("_lt_taken"), text).otherwise(F.array_join(F.slice(words, 1, F.greatest(rest, F.lit(1))), " ")))
     )
     n_chars = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return out.withColumns(n_chars).select(*docs.columns)

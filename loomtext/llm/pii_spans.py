@@ -249,7 +249,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut:
 
 def masked(docs: DataFrame, text_col: str = "text", cut: float = CUT) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; ``n_chars`` follows if it is there."""
-    model = fit(vote_counts(candidate_table(docs.withColumn("_none", F.lit(None).cast("long")), "_none", text_col)))
+    model = fit(vote_counts(candidate_table(docs.withColumn("_lt_none", F.lit(None).cast("long")), "_lt_none", text_col)))
 
     @F.pandas_udf("string")
     def mask(texts):  # noqa: ANN001, ANN202

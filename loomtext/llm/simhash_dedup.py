@@ -210,11 +210,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents, one of each component: the one with the smallest doc_id (null last), all columns kept."""
     key = F.xxhash64("doc_id", text_col)  # rows that agree in both are repeated rows
-    found = near_duplicates(docs.withColumn("_key", key), "_key", text_col, **options).select(F.col("id").alias("_key"), "component_id").distinct()
-    ids = docs.select(key.alias("_key"), F.col("doc_id").alias("_doc")).distinct()
-    first = F.min_by("_key", F.struct(F.col("_doc").isNull(), "_doc", "_key")).alias("_key")
-    kept = found.join(ids, "_key").groupBy("component_id").agg(first).select("_key")
-    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    found = near_duplicates(docs.withColumn("_lt_key", key), "_lt_key", text_col, **options).select(F.col("id").alias("_lt_key"), "component_id").distinct()
+    ids = docs.select(key.alias("_lt_key"), F.col("doc_id").alias("_lt_doc")).distinct()
+    first = F.min_by("_lt_key", F.struct(F.col("_lt_doc").isNull(), "_lt_doc", "_lt_key")).alias("_lt_key")
+    kept = found.join(ids, "_lt_key").groupBy("component_id").agg(first).select("_lt_key")
+    return docs.withColumn("_lt_key", key).join(kept, "_lt_key", "left_semi").dropDuplicates(["_lt_key"]).select(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
