@@ -43,14 +43,14 @@ def water_level(sources: DataFrame, share: float) -> float:
     total, weights = sources.agg(F.sum("source_size"), F.sum("weight")).first()
     if not total:
         return 0.0
-    goal, held = share * total, 0
-    level = goal / weights
+    goal = share * total
+    level, open_ = goal / weights, weights
     while True:
         above = F.col("cap") <= level * F.col("weight")
-        now, rest = sources.agg(F.coalesce(F.sum(F.when(above, F.col("cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~above, F.col("weight"))), F.lit(0))).first()
-        if now == held or not rest:
+        held, rest = sources.agg(F.coalesce(F.sum(F.when(above, F.col("cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~above, F.col("weight"))), F.lit(0))).first()
+        if rest in (open_, 0):  # no further source is held
             return level
-        held, level = now, (goal - now) / rest
+        level, open_ = (goal - held) / rest, rest
 
 
 def mix(

@@ -33,6 +33,12 @@ def test_odd_documents(odd):
         assert abs(sum(r["taken"] for r in by[s]) - target[s]) <= 1
 
 
+def test_a_source_without_words_gives_its_weight_away(spark):
+    df = spark.createDataFrame([(i, "w " * 10, f"s{i % 3}") for i in range(30)] + [(99, "", "s9")], "doc_id long, text string, source string")
+    got = {r["source"]: r["target"] for r in mixing.mix(df).collect()}
+    assert got == {"s0": 200.0, "s1": 250 / 3, "s2": 500 / 3, "s9": 0.0}
+
+
 def test_reruns_agree(odd):
     key = lambda r: (str(r["id"]), r["size"], r["taken"])
     assert sorted(map(key, mixing.mix(odd).collect())) == sorted(map(key, mixing.mix(odd.repartition(7)).collect()))
