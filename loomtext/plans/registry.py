@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Tables whose rows are dear to process.
+TEXT_TABLES = ("documents", "pages", "conversations")
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,4 +26,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer splits than there are cores is dealt out, as small files would keep all but a few idle."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
