@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, sorted_runs, table, text_bytes, unite, written
+from .common import components, dealt, sorted_runs, table, text_bytes, unite, written
 
 SEED = 42
 SHINGLE = 4
@@ -80,8 +80,11 @@ def near_codes(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (segment[:, None] ^ patterns[syndrome]) >> 11, count[syndrome]
 
 
-def bucket_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key << 2 | role, row) of every bucket of the fingerprints; roles: 0 decoded, 1 near sets, 2 equal and near."""
+def bucket_keys(fp: np.ndarray, probes: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(key << 2 | role, row) of every bucket of the fingerprints; roles: 0 decoded, 1 near sets, 2 equal and near.
+
+    Role 1 only looks up what role 0 lists and is left out without ``probes``.
+    """
     u = fp.view(np.uint64)
     seg = [((u >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64) for at, width in SEGMENTS]
     code, count = zip(*(near_codes(s) for s in seg))
@@ -91,7 +94,7 @@ def bucket_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         base = np.int64(kind) << 40
         keys.append((base | code[i][:, 0] << 12 | code[j][:, 0]) << 2)
         owners.append(rows)
-        for a, b in itertools.product(range(6), range(6)):
+        for a, b in itertools.product(range(6), range(6)) if probes else ():
             ok = (count[i] > a) & (count[j] > b)
             keys.append((base | code[i][ok, a] << 12 | code[j][ok, b]) << 2 | 1)
             owners.append(rows[ok])
@@ -129,9 +132,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(kernel, "id long, fp long")
 
 
-def run_links(k: np.ndarray, fp: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal ``k >> 2``: all links of short runs, a spanning forest of each long run's."""
-    key, role = k >> 2, k & 3
+def run_links(key: np.ndarray, role: np.ndarray, fp: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs of equal keys: all links of short runs, a spanning forest of each long run's."""
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     length = np.diff(np.r_[start, len(key)])
     each = np.repeat(length, length)
@@ -167,28 +169,30 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     if not 0 <= bits <= BITS:
         raise ValueError("the segment scheme holds for 0 to 4 differing bits")
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def explode(batches: Iterator[pa.RecordBatch], probes: bool = True) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 fp = batch.column(0).slice(at, 4096).to_numpy()
                 if len(fp):
-                    k, owner = bucket_keys(fp)
-                    yield pa.record_batch([pa.array(k), pa.array(fp[owner])], ["k", "fp"])
+                    k, owner = bucket_keys(fp, probes)
+                    yield pa.record_batch([pa.array(k >> 2), pa.array((k & 3).astype(np.int8)), pa.array(fp[owner])], ["key", "role", "fp"])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in explode(batches, False):
+            yield b.select(["key"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sorted_runs(_keyed(batches), "key"):
-            a, b = run_links(part.column("k").to_numpy(), part.column("fp").to_numpy(), bits)
+        for part in sorted_runs(batches, "run"):
+            a, b = run_links(*(part.column(c).to_numpy() for c in ("run", "role", "fp")), bits)
             if len(a):
                 yield pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["src", "dst"])
 
-    rows = fps.select("fp").mapInArrow(explode, "k long, fp long")
-    dealt = rows.repartition(F.shiftright("k", 2)).sortWithinPartitions("k", "fp")
-    return dealt.mapInArrow(verify, "src long, dst long").distinct()
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.record_batch([*b.columns, pa.array(b.column(0).to_numpy() >> 2)], ["k", "fp", "key"])
+    _tables()  # made once here and sent along with the kernel
+    own = fps.select("fp")
+    rows = own.mapInArrow(explode, "key long, role byte, fp long")
+    # buckets that list many fingerprints are compared block by block, in tasks of bounded size
+    units = dealt(rows, own.mapInArrow(listed, "key long"), "fp")
+    return units.mapInArrow(verify, "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, seed: int = SEED) -> DataFrame:

@@ -37,15 +37,14 @@ def test_fingerprints_within_four_bits_share_a_bucket(a, flips):
     k, owner = sh.bucket_keys(fp)
     rows = sorted(zip((k >> 2).tolist(), (k & 3).tolist(), owner.tolist()))
     key = np.array([r[0] << 2 | r[1] for r in rows])
-    x, y = sh.run_links(key, fp[[r[2] for r in rows]])
+    x, y = sh.run_links(key >> 2, key & 3, fp[[r[2] for r in rows]])
     assert a == b or {(int(p), int(q)) for p, q in zip(x, y)} & {(int(fp[0]), int(fp[1])), (int(fp[1]), int(fp[0]))}
 
 
 def test_long_runs_give_a_forest():
     base = 0x0123456789ABCDEF
     fps = np.unique(np.array([base] + [base ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(i)], np.uint64)).view(np.int64)
-    k = np.full(len(fps), 4 << 42 | 2)
-    a, b = sh.run_links(k, fps)
+    a, b = sh.run_links(np.full(len(fps), 4 << 40), np.full(len(fps), 2), fps)
     assert len(a) == len(fps) - 1
     assert (np.bitwise_count((a ^ b).view(np.uint64)) <= 4).all()
 
@@ -93,3 +92,29 @@ def test_one_of_each_group_stays(odd):
     ids = sorted((r["doc_id"], (r["text"] or "")[:10]) for r in got.collect())
     # 2 copies 0; 3, 4 and 5 have no word; the null id and the repeated row copy 1
     assert [i for i, _ in ids] == [0, 1, 1, 3, 6, 7, 8, 9, 10]
+
+
+def test_split_buckets_lose_no_link(spark, monkeypatch):
+    from loomtext.llm import common
+
+    rng = np.random.default_rng(3)
+    base = int(rng.integers(0, 1 << 62))
+    near = {base}
+    for _ in range(300):
+        f = int(rng.choice(sorted(near)))
+        for _ in range(2):
+            f ^= 1 << int(rng.integers(0, 64))
+        near.add(f)
+    far = {int(x) for x in rng.integers(0, 1 << 62, 200)}
+    pairs = [(i, f) for i, f in enumerate(sorted(near | far))]
+    want = brute_components(pairs)
+    monkeypatch.setattr(sh, "dealt", lambda r, c, i: common.dealt(r, c, i, most=5))
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for _, f in pairs], "fp long")
+    roots = {r["node"] & (2**64 - 1): r["root"] for r in sh.components(sh.fingerprint_links(df)).collect()}
+    groups = {}
+    for _, f in pairs:
+        groups.setdefault(roots.get(f, f), set()).add(f)
+    wanted = {}
+    for _, f in pairs:
+        wanted.setdefault(want[f], set()).add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
