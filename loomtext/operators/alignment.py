@@ -128,13 +128,14 @@ def chain(spans: list[Span], optimal: bool = False) -> list[Span]:
     """Spans that do not overlap in the digest, chosen by weighted scheduling over their ends.
 
     By default a span continues the chain that *ends* with the last span before it, which is not always the best
-    earlier chain; results are defined that way. ``optimal`` continues the best one.
+    earlier chain, and of neighbours one of which holds the other the larger stays; results are defined that way.
+    ``optimal`` weighs all spans and continues the best chain.
     """
     kept: list[Span] = []
     for x in sorted(spans, key=lambda x: x.d_end):
-        if kept and kept[-1].d_start <= x.d_start and x.d_end <= kept[-1].d_end:
+        if not optimal and kept and kept[-1].d_start <= x.d_start and x.d_end <= kept[-1].d_end:
             continue
-        if kept and x.d_start <= kept[-1].d_start:
+        if not optimal and kept and x.d_start <= kept[-1].d_start:
             kept[-1] = x
         else:
             kept.append(x)
