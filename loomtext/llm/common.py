@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,12 +18,20 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a kernel turns into numpy arrays at a time.
 SLICE_BYTES = 2_000_000
+#: Local folders of this process, where no shared one is named; deleted at its end.
+_OWN: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return base or f"file://{tempfile.gettempdir()}/checkpoints/{os.getpid()}"
+    if base:
+        return base
+    own = f"{tempfile.gettempdir()}/checkpoints/{os.getpid()}"
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"file://{own}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
