@@ -1 +1 @@
-
+"""No stream operators: the library's semantics are those of whole corpora."""

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from loomtext import catalog
@@ -22,7 +23,7 @@ def con():
 
 def rows(df):
     def plain(v):
-        if v is None or v is np.nan or v != v:
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return None
         return round(float(v), 9) + 0.0 if isinstance(v, (float, np.floating, int, np.integer)) and not isinstance(v, (bool, np.bool_)) else str(v)
 
