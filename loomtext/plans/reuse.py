@@ -46,8 +46,8 @@ def document_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def found_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = document_grams(spark, sf_dir)
-    residual = (F.col("d.id") != F.col("s.id")) & (F.col("s.n_chars") >= P.size_ratio * F.col("d.n_chars"))
-    return candidates.containment(g.where(F.col("n_chars") <= P.max_digest_chars), g, P.min_containment, residual)
+    residual = (F.col("d.id") != F.col("s.id")) & (F.col("s.n_chars") >= P.size_ratio * F.col("d.n_chars")) & (F.col("d.n_chars") <= P.max_digest_chars)
+    return candidates.containment(g, g, P.min_containment, residual)  # both sides alike, so one shuffle serves both
 
 
 def crossrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,8 +100,9 @@ def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = grams.gram_table(docs, "doc_id", "text", P.gram)
     asked = grams.gram_table(items, "item_id", "text", P.gram)
     # only grams of the passages can be shared, so only their frequencies are counted
-    near = made.join(asked.select("gram").distinct(), "gram", "left_semi")
-    stops = grams.stop_grams(grams.document_frequency(near), docs, P.stop_share)
+    # and the few rows that are left are kept, so that documents are read once
+    near = made.join(asked.select("gram").distinct(), "gram", "left_semi").persist()
+    stops = grams.stop_grams(grams.document_frequency(near), docs.select("doc_id"), P.stop_share)
     found = candidates.containment(grams.without(asked, stops), near, P.min_containment)
     extent = F.when(F.col("containment") >= 0.8, "whole").when(F.col("containment") >= 0.3, "part").otherwise("trace")
     return found.select(F.col("digest_id").alias("item_id"), F.col("source_id").alias("doc_id"), "matching", "total", "containment", extent.alias("extent"))

@@ -95,3 +95,38 @@ def test_title_passes_and_precedence(spark):
 def test_sections(spark):
     df = spark.createDataFrame([(1, 2000, "fuzzy"), (1, 2000, "exact"), (30, 5, "token"), (30, 1109, "token")], "v int, t int, k string")
     assert [r[0] for r in df.select(title_match.section_mismatch(F.col("v"), F.col("t"), F.col("k"))).collect()] == [True, False, True, False]
+
+
+def test_dense_regions_against_loops(spark):
+    texts = ["aaxaaxaaxxxxaaaaaa", "xxxx", "", "aaaaaaaaaa", "a" * 6 + "x" * 20 + "a" * 7]
+    window, least, shortest = 6, 4, 6
+    want = set()
+    for i, t in enumerate(texts):
+        starts = [p for p in range(len(t) - window + 1) if sum(c == "a" for c in t[p : p + window]) >= least]
+        spans = []
+        for p in starts:
+            if spans and p <= spans[-1][1]:
+                spans[-1][1] = p + window
+            else:
+                spans.append([p, p + window])
+        want |= {(i, a, b) for a, b in spans if b - a >= shortest}
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    regions = phonetic.dense_regions(df, "a", window, least, shortest)
+    assert set(map(tuple, regions.collect())) == want
+    got = phonetic.syllable_grams(df, regions, {"a": "A"}, 3)
+    assert {r["id"] for r in got.collect()} == {i for i, *_ in want} and {r["gram"] for r in got.collect()} == {"AAA"}
+
+
+def test_phonetic_table(spark):
+    rows = [(list("ab"), ["x", "y"]), (list("ac"), ["z", "w"]), (list("abc"), ["x", "y"]), (list("qa"), ["k", "v"]), (["m"], ["n"])] + [(["e", "f"], [f"s{i}", "t"]) for i in range(6)]
+    got = {(r["ch"], r["syllable"]) for r in phonetic.phonetic_table(spark.createDataFrame(rows, "characters array<string>, syllables array<string>"), "q", 5).collect()}
+    assert got == {("a", "x"), ("a", "z"), ("a", "v"), ("b", "y"), ("c", "w"), ("f", "t")}
+    assert value(spark, phonetic.equivalent(F.lit("a"), F.lit("b"), F.array(F.lit("x")), F.array(F.lit("x"), F.lit("y"))))
+    assert not value(spark, phonetic.equivalent(F.lit("a"), F.lit("b"), F.array(F.lit("x")), F.lit(None).cast("array<string>")))
+
+
+def test_multi_source_needs_a_gain(spark):
+    rows = [("d", "a", 0, 50, 0.0), ("d", "b", 50, 90, 0.0), ("e", "a", 0, 50, 0.0), ("e", "b", 0, 48, 0.0), ("f", "a", 0, 50, 0.0)]
+    seg = spark.createDataFrame(rows, "digest_id string, source_id string, start int, stop int, phonetic_fraction double")
+    lengths = spark.createDataFrame([(d, 100) for d in "def"], "digest_id string, length int")
+    assert [tuple(r) for r in scoring.multi_source(seg, lengths, 0.1, P).collect()] == [("d", 2, 0.5, 0.9)]
