@@ -157,3 +157,16 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = link_vectors(table(spark, sf_dir, "embeddings"))
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+#: All pairs, for tables on which that is no burden.
+ORACLE = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+usable AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+linked AS (SELECT a.r AS x, b.r AS y FROM usable a JOIN usable b ON a.r <> b.r AND CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) END >= {THRESHOLD}),
+reach(x, y) AS (SELECT r, r FROM v UNION SELECT reach.x, linked.y FROM reach JOIN linked ON reach.y = linked.x),
+lowest AS (SELECT x, min(vec_id) AS component_id FROM reach JOIN v ON v.r = y GROUP BY x),
+counts AS (SELECT x, count(*) AS n_links FROM linked GROUP BY x)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN lowest ON lowest.x = v.r LEFT JOIN counts ON counts.x = v.r
+"""

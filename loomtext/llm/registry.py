@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing
+from . import embedding_dedup, license_scan, mixing
 from .embedding_dedup import op8_embedding_dedup
 from .language_id import op10_language
 from .license_scan import op9_licenses
@@ -31,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
-ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op9_licenses": license_scan.oracle()}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op8_embedding_dedup": embedding_dedup.ORACLE, "op9_licenses": license_scan.oracle()}

@@ -41,6 +41,22 @@ def test_against_all_pairs(spark):
     assert got == brute(rows)
 
 
+def test_oracle_agrees(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for c in range(12):
+        base = rng.standard_normal(16)
+        rows += [(len(rows) + k, (base + 0.08 * rng.standard_normal(16)).astype(np.float32).tolist()) for k in range(1 + c % 5)]
+    rows += [(100, None), (101, [0.0] * 16), (102, [float("nan")] * 16), (103, rows[3][1]), (104, [1.0, 2.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(map(tuple, con.execute(ed.ORACLE).fetchall()))
+    assert sorted(tuple(r) for r in ed.op8_embedding_dedup(spark, str(tmp_path)).collect()) == want
+
+
 def test_empty_table(spark):
     assert ed.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
