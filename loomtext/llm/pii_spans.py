@@ -1,8 +1,8 @@
 """Personal data by weak supervision.
 
 Base patterns give spans that always stay. Wider patterns propose further candidates of the same kinds: phone numbers
-without a plus sign, obfuscated addresses, card numbers that only fail the length or the check digit, partly masked
-addresses. Every candidate, base or not, is voted on by labelers: regular expressions and checksums, gazetteers of
+without a plus sign, addresses that spell out the at sign or the dots or mask some letters with asterisks, card numbers
+that only fail the length or the check digit. Every candidate, base or not, is voted on by labelers: regular expressions and checksums, gazetteers of
 domain endings, number prefixes and reserved ranges, and words of the context. The votes of all candidates are counted
 by pattern (a bounded table, however large the corpus); expectation-maximisation on the counts estimates each labeler's
 reliability for each kind and the probability of each pattern; a logistic classifier trained on those probabilities with
@@ -33,8 +33,12 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+#: A spelled-out at sign, a dot of a domain as it may be spelled, and what may follow the at sign.
+_AT = re.compile(r"[(\[{][aA][tT][)\]}]| [aA][tT] ")
+_DOT = re.compile(r" ?(?:\(dot\)|\[dot\]|\{dot\}) ?| dot |\.", re.I)
+_SPELLED = re.compile(rf" ?[A-Za-z0-9-]+(?:(?:{_DOT.pattern})[A-Za-z0-9-]+)+", re.I)
+_STARRED = re.compile(r"[A-Za-z0-9*-]+(?:\.[A-Za-z0-9*-]+)+")
 _WIDE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]+)+"),
     "phone": re.compile(r"(?:\(0?[0-9]{2,4}\) ?|00[0-9]{1,3}[ -])[0-9][0-9 -]{4,12}[0-9]"),
 }
 # Endings of domains, leading digits of card issuers, country calling codes, words of the context.
@@ -90,11 +94,30 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], RANK[x[0]], x[2]))
 
 
+def _wide_emails(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with a spelled-out at sign, or with asterisks: only the runs before an at sign can begin one."""
+    for m in _AT.finditer(text):
+        last = m.start() - (text[m.start() - 1 : m.start()] == " ")
+        start = last
+        while start and text[start - 1] in _LOCAL_CHARS:
+            start -= 1
+        domain = _SPELLED.match(text, m.end()) if start < last else None
+        if domain:
+            yield start, domain.end()
+    at = text.find("@") if "*" in text else -1
+    while at >= 0:
+        start = at
+        while start and (text[start - 1] in _LOCAL_CHARS or text[start - 1] == "*"):
+            start -= 1
+        domain = _STARRED.match(text, at + 1) if start < at else None
+        if domain and "*" in text[start : domain.end()]:
+            yield start, domain.end()
+        at = text.find("@", at + 1)
+
+
 def _wide_spans(text: str) -> Iterator[tuple[str, int, int]]:
-    lowered = "(at)" in text or "[at]" in text or "{at}" in text or " at " in text
-    if lowered and ("dot" in text or "(at)" in text or "[at]" in text):
-        for m in _WIDE["email"].finditer(text):
-            yield "email", *m.span()
+    for start, end in _wide_emails(text):
+        yield "email", start, end
     if "(" in text or "00" in text:
         for m in _WIDE["phone"].finditer(text):
             if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
@@ -118,7 +141,9 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> int:
         checksum = 2 if luhn(d) else 0
         listed = 2 if d.startswith(ISSUERS) else 0
     elif kind == "email":
-        listed = 2 if s.rsplit(".", 1)[-1].lower() in ENDINGS else 0
+        listed = 2 if _DOT.split(s)[-1].lower() in ENDINGS else 0
+        if not base:  # " at " before a domain that is written out may be plain prose
+            checksum = 2 if "@" in s or any(c in s for c in "([{") or re.search(" dot ", s, re.I) else 0
     elif kind == "ip":
         first = int(d and s.split(".")[0] or 0)
         listed = 0 if first == 0 or first >= 224 else 2
@@ -200,11 +225,11 @@ def fit(counts: list[tuple[str, bool, int, int]]) -> dict[str, np.ndarray]:
 
 
 def accepts(model: dict[str, np.ndarray], kind: str, code: int, base: bool, cut: float = CUT) -> bool:
-    """Base spans stay; others need the classifier, no vote against them and two for them."""
+    """Base spans stay; others need the classifier and two votes for them."""
     if base:
         return True
     v = digits_of(np.array([code]))[0]
-    if kind not in model or (v == 0).any() or (v == 2).sum() < 2:
+    if kind not in model or (v == 2).sum() < 2:
         return False
     q = 1 / (1 + np.exp(-float((span_features(np.array([code]), np.array([False])) @ model[kind])[0])))
     return q >= cut

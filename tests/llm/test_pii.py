@@ -63,6 +63,24 @@ def test_added_spans_never_overlap_base_ones_and_clean_text_has_none(spark):
     assert got[200]["spans"] == []
 
 
+def test_spelled_out_and_starred_addresses_become_spans(spark):
+    spelled = ["john (at) example (dot) com", "john.doe[at]example[dot]com", "john at example dot com", "john{at}example.com", "J (AT) mail (DOT) example.com", "j***@example.com", "john@e***.com"]
+    rows = [(i, f"please mail the office me.{i}@site.com or others") for i in range(40)] + [(100 + i, f"please write to {s} today") for i, s in enumerate(spelled * 4)]
+    rows += [(200, "we met at noon.then we left"), (201, "they looked at amazon.nothing and more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: [(x["kind"], rows_text[x["start"] : x["end"]]) for rows_text in [dict(rows)[r["id"]]] for x in r["spans"]] for r in ps.detect(df).collect()}
+    assert all(got[100 + i] == [("email", s)] for i, s in enumerate(spelled * 4))
+    assert got[200] == got[201] == []
+    assert {r["text"] for r in ps.masked(df).collect() if 100 <= r["doc_id"] < 200} == {"please write to <email> today"}
+
+
+def test_no_single_vote_decides_against_the_classifier():
+    code = lambda s: int(s, 3)
+    patterns = [("card", True, code("22222"), 50), ("card", False, code("20222"), 50), ("card", False, code("20010"), 50)]
+    model = ps.fit(patterns)
+    assert [ps.accepts(model, *p[:1], p[2], p[1], 0.5) for p in patterns] == [True, True, False]
+
+
 def test_reliabilities_follow_the_counts():
     code = np.array([int("21222", 3), int("20002", 3), int("11111", 3)])
     p = ps.reliabilities(code, np.array([True, False, False]), np.array([500.0, 500.0, 10.0]))
