@@ -25,8 +25,6 @@ KINDS = ("email", "ip", "card", "phone")
 RANK = {k: i for i, k in enumerate(KINDS)}
 CUT = 0.9
 CONTEXT = 40
-#: Candidates of a kind that the reliabilities need; below, only base spans are returned.
-LEAST = 20
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -213,11 +211,11 @@ def span_features(code: np.ndarray, base: np.ndarray) -> np.ndarray:
 
 
 def fit(counts: list[tuple[str, bool, int, int]]) -> dict[str, np.ndarray]:
-    """Classifier of each kind from (kind, base, votes, count) of all candidates."""
+    """Classifier of each kind that has candidates, however few, from their (kind, base, votes, count)."""
     out = {}
     for kind in KINDS:
         own = sorted((b, c, n) for k, b, c, n in counts if k == kind)
-        if sum(n for *_, n in own) >= LEAST:
+        if own:
             base, code, n = (np.array(x) for x in zip(*own))
             p = reliabilities(code, base.astype(bool), n.astype(float))
             out[kind] = classifier(code, base.astype(bool), n.astype(float), np.where(base, np.maximum(p, 0.99), p))

@@ -81,6 +81,13 @@ def test_no_single_vote_decides_against_the_classifier():
     assert [ps.accepts(model, *p[:1], p[2], p[1], 0.5) for p in patterns] == [True, True, False]
 
 
+def test_few_candidates_are_judged_like_many(spark):
+    for n in (1, 19, 20, 60):
+        rows = [(i, f"call the phone (030) 555 {1000 + i} today") for i in range(n)]
+        got = ps.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert [[x["kind"] for x in r["spans"]] for r in got] == [["phone"]] * n
+
+
 def test_reliabilities_follow_the_counts():
     code = np.array([int("21222", 3), int("20002", 3), int("11111", 3)])
     p = ps.reliabilities(code, np.array([True, False, False]), np.array([500.0, 500.0, 10.0]))
