@@ -2,7 +2,9 @@
 
 A k-mer is K consecutive words; its inner substrings are the S-word substrings within it. It is a closed syncmer, and so
 an anchor, if the smallest of their hashes stands first or last. Whether a k-mer is chosen depends on its own words
-alone, so an edit moves no anchor elsewhere. Texts of fewer than K words are anchored at every word.
+alone, so an edit moves no anchor elsewhere. Among INNER - 1 consecutive k-mers at least one is chosen, so texts of
+SURE words or more always have an anchor; shorter texts are anchored at every word. A text of each side of that limit
+share no anchor, however alike they are.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ K = 9
 S = 2
 #: Inner substrings of a k-mer; the sliding minimum below doubles its reach three times.
 INNER = K - S + 1
+#: Words from which on some k-mer is sure to be chosen.
+SURE = K + INNER - 2
 #: Rows of a range of ids, on average, that one window sorts; a range may be larger, as windows spill.
 RANGE_ROWS = 500
 MOST_RANGES = 1 << 14
@@ -48,7 +52,7 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(pick, F.filter(F.transform(flags, lambda f, i: F.when(f, i)), lambda i: i.isNotNull()))
     long = F.transform(pick, lambda i: F.struct(i.alias("at"), F.shiftright(F.xxhash64(F.slice(F.col(w), i + 1, F.lit(K))), 32).cast("int").alias("hash")))
     short = F.transform(w, lambda h, i: F.struct(i.alias("at"), F.shiftright(F.xxhash64(F.array(h)), 32).cast("int").alias("hash")))
-    return df.withColumn(out, F.when(n >= K, long).otherwise(short)).drop(w, a, m, pick)
+    return df.withColumn(out, F.when(n >= SURE, long).otherwise(short)).drop(w, a, m, pick)
 
 
 def fingerprint(anchors: str) -> Column:

@@ -1,5 +1,8 @@
 import hashlib
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from loomtext.llm import syncmers as sy
 
 
@@ -40,6 +43,16 @@ def test_anchors_are_closed_syncmers_and_context_free(spark):
     assert [at for at, _ in got[0]] == closed
 
 
+def test_short_texts_have_anchors_of_their_own(spark):
+    texts = [" ".join(f"t{i}w{j}" for j in range(9 + i % 9)) for i in range(180)]
+    df = sy.with_anchors(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", "a")
+    got = df.select("i", sy.fingerprint("a").alias("f"), sy.likeness(F.col("a"), F.lag("a").over(Window.orderBy("i"))).alias("near")).collect()
+    assert all(r["f"] for r in got) and len({r["f"] for r in got}) == len(texts)
+    assert {r["near"] for r in got if r["near"] is not None} == {0.0}
+    pair = spark.createDataFrame([(" ".join(texts[3].split()[:6]), texts[3])], "x string, y string")
+    assert sy.with_anchors(sy.with_anchors(pair, "x", "a"), "y", "b").select(sy.likeness(F.col("a"), F.col("b"))).first()[0] > 0.5
+
+
 def test_query_columns(spark, tmp_path):
     spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r for r in sy.op5_syncmers(spark, str(tmp_path)).collect()}
