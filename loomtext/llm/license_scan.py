@@ -3,7 +3,9 @@
 Texts are cut into sentences, normalised to lower-case letters and digits, and each sentence that is known becomes its
 identifier. A licence rule is an ordered sequence of identifiers and matches where they follow each other among a
 text's known sentences. Texts are cut twice, with line ends as sentence ends (notices on lines of their own) and as
-spaces (wrapped paragraphs); a rule may match in either reading.
+spaces (wrapped paragraphs). A third reading takes sentences from each line that opens as a known one does, below
+headings or copyright lines without a full stop, on to the sentence end or else to a blank line. A rule may match in any
+reading; the SQL check has the first two.
 """
 
 from __future__ import annotations
@@ -121,6 +123,30 @@ def sentence_ids(cut: Column, known: list[str], lines: bool) -> Column:
     return F.filter(at, lambda i: i > 0)
 
 
+BLANK = r"\n[\x20\t\r]*\n"
+
+
+def opened_ids(cut: Column, known: list[str]) -> Column:
+    """As :func:`sentence_ids`, of sentences that start at a line or sentence start and run over line ends.
+
+    Sentences may start within others, so those are looked ahead at; none is followed beyond the most words that a known
+    one has. Where the whole sentence is not known, its part before the first blank line may be.
+    """
+    table_ = F.array(*(F.lit(s) for s in known))
+    most = max(len(s.split()) for s in known)
+    words = "|".join(sorted({r"[^A-Za-z0-9\x01]+".join(s.split()[:2]) for s in known}))
+    pattern = rf"(?i)(?:^|[\x01\n])[^A-Za-z0-9\x01\n]*+(?=((?:{words})(?![A-Za-z0-9])(?:[^A-Za-z0-9\x01]++[A-Za-z0-9]++){{0,{most}}}+(?:[^A-Za-z0-9\x01]*+\x01)?))"
+    plain = lambda s: F.trim(F.lower(F.regexp_replace(s, "[^A-Za-z0-9]+", " ")))
+
+    def place(s: Column) -> Column:
+        whole = F.when(s.endswith("\x01"), F.array_position(table_, plain(s))).otherwise(0)
+        part = F.when(s.rlike(BLANK), F.array_position(table_, plain(F.split(s, BLANK, 2)[0]))).otherwise(0)
+        return F.when(whole > 0, whole).otherwise(part)
+
+    starts = F.regexp_extract_all(F.concat(cut, F.lit("\x01")), F.lit(pattern), F.lit(1))
+    return F.filter(F.transform(starts, place), lambda i: i > 0)
+
+
 def _contains(ids: Column, found: list[tuple[str, list[int]]]) -> Column:
     path = F.concat(F.lit("|"), F.array_join(ids.cast("array<string>"), "|"), F.lit("|"))
     names: dict[str, list[str]] = {}
@@ -131,7 +157,7 @@ def _contains(ids: Column, found: list[tuple[str, list[int]]]) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sentence_ids, wrapped_ids, licenses) of every row: identifiers in both readings, and the licences found.
+    """(id, sentence_ids, wrapped_ids, opened_ids, licenses) of every row: identifiers by reading, and the licences found.
 
     Null and empty texts have none; repeated rows stay repeated; an empty table gives no rows; other columns are
     ignored. Licences stand in code-point order, each once.
@@ -139,9 +165,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     known, found = rules()
     cut = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), ENDS, "\x01").alias("cut")
     out = docs.select(F.col(id_col).alias("id"), cut)
-    out = out.select("id", sentence_ids(F.col("cut"), known, True).alias("sentence_ids"), sentence_ids(F.col("cut"), known, False).alias("wrapped_ids"))
-    both = F.array_sort(F.array_union(_contains(F.col("sentence_ids"), found), _contains(F.col("wrapped_ids"), found)))
-    return out.withColumn("licenses", both)
+    out = out.select("id", sentence_ids(F.col("cut"), known, True).alias("sentence_ids"), sentence_ids(F.col("cut"), known, False).alias("wrapped_ids"), opened_ids(F.col("cut"), known).alias("opened_ids"))
+    readings = [_contains(F.col(c), found) for c in ("sentence_ids", "wrapped_ids", "opened_ids")]
+    return out.withColumn("licenses", F.array_sort(F.array_distinct(F.flatten(F.array(*readings)))))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import textwrap
+
 import duckdb
 
 from loomtext.llm import license_scan as ls
@@ -33,6 +35,22 @@ def test_oracle_agrees(spark, tmp_path):
     assert sorted(tuple(r) for r in ls.op9_licenses(spark, str(tmp_path)).collect()) == want
 
 
+def test_wrapped_texts_below_lines_without_a_full_stop(spark):
+    wrap = lambda text, mark="": "\n".join(mark + x for x in textwrap.wrap(text, 70))
+    mit = wrap(ls.TEXTS["MIT"][0].split(" The above")[0]) + "\n\n" + wrap("The above" + ls.TEXTS["MIT"][0].split(" The above")[1]) + "\n\n" + wrap(ls.TEXTS["MIT"][1])
+    texts = [
+        "MIT License\n\nCopyright (c) 2024 Jane Roe\n\n" + mit,
+        "The MIT License (MIT)\nCopyright (c) 2024 Jane Roe\n" + mit,
+        "ISC License\n\nCopyright (c) 2024, Jane Roe\n\n" + wrap(ls.TEXTS["ISC"][0]) + "\n\n" + wrap(ls.TEXTS["ISC"][1]),
+        " * roe - a program\n * Copyright (C) 2024 Jane Roe\n *\n" + wrap(" ".join(ls.TEXTS["GPL-3.0"]), " * "),
+        "Heading\nThis work is licensed under\nthe MIT License.",
+        "Heading\nThis work is licensed under\nthe MIT License\n\nand more words follow",
+        "Heading\nThis work is licensed under\nthe MIT Licensees", "This work is licensed under\n" * 20_000,
+    ]
+    got = licenses(spark, texts)
+    assert [got[i][0] for i in range(len(texts))] == [["MIT"], ["MIT"], ["ISC"], ["GPL-3.0"], ["MIT"], ["MIT"], [], []]
+
+
 def test_every_notice_is_found(spark):
     known, rules = ls.rules()
     texts = [n.format(name) + "." for names in ls.NAMES.values() for name in names for n in ls.NOTICES]
