@@ -2,8 +2,10 @@
 
 Texts are encoded with a public BPE model by agenda: neighbouring symbols whose joined form is a piece wait in a heap by
 the piece's rank and place, and the best is merged until none is left. With dropout, each candidate that comes up is
-skipped if a keyed hash of (seed, variant, chunk, place, piece) falls below the rate, so a segmentation depends on the
-key alone: reruns agree, and other seeds or variants give other segmentations. Merges are the model's own, so every
+skipped with the given rate, independently for every occurrence of a chunk: keyed hashes of (seed, document's variant,
+place of the chunk in the text) give the number of candidates up to each next skip, which is geometric. So reruns agree,
+and other seeds, documents and places give other segmentations. What a chunk becomes after a given row of skips is
+remembered, never which skips it has. Merges are the model's own, so every
 result is a valid sequence of its pieces, and decoding gives the text back. Rate 0 gives the model's own encoding.
 
 Spaces become U+2581 with one more in front, as the model asks; a U+2581 of the text itself and characters without a
@@ -15,7 +17,8 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
+from math import log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +31,34 @@ from .common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE = 0.1
 SEED = 42
-#: Segmentations that one chunk may have in a corpus; a document's hashed id chooses.
-VARIANTS = 2
-#: Chunks of a variant that a task remembers before it forgets them all; bounds its memory.
+#: Keys of the documents; a document's hashed id chooses.
+VARIANTS = 1 << 31
+#: Segmentations of chunks that a task remembers before it forgets them all; bounds its memory.
 REMEMBER = 200_000
 #: Characters of a chunk up to which its candidates are looked through instead of kept in a heap.
 SHORT = 24
 SPACE = "▁"
 #: Stands for a U+2581 of the text while spaces are U+2581; a lone surrogate, which no UTF-8 text holds.
 _OWN = "\ud800"
+_MASK = (1 << 64) - 1
+_STEP, _MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+#: Candidates up to the next skip where none is skipped.
+_NEVER = 1 << 40
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(_MIX[0])
+    x = (x ^ x >> np.uint64(27)) * np.uint64(_MIX[1])
+    return x ^ x >> np.uint64(31)
+
+
+def _mixed_int(x: int) -> int:
+    x = (x ^ x >> 30) * _MIX[0] & _MASK
+    x = (x ^ x >> 27) * _MIX[1] & _MASK
+    return x ^ x >> 31
+
+
 class Encoder:
     """One model with one rate and seed; ``encode`` takes a text and a variant."""
 
@@ -55,46 +74,68 @@ class Encoder:
         plain = [i for i in range(len(self.pieces)) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in plain}
         self.rank = {self.pieces[i]: -sp.get_score(i) for i in plain}
-        self.limit, self.seed = int(rate * 2**32), seed
-        self.known: dict[int, dict[str, tuple[int, ...]]] = {}
-
-    def key(self, chunk: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(chunk.encode("utf-8", "surrogatepass"), self.seed + (variant << 32))
-
-    def skips(self, key: int, at: int, rank: float) -> bool:
-        """Whether the candidate whose left symbol starts at character ``at`` of the chunk is dropped."""
-        return ((key ^ (at << 20 | int(rank))) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 32 < self.limit
+        self.rate, self.seed = rate, seed
+        #: (ids, candidates that came up, further skip: the same for what follows from it) of each chunk
+        self.known: dict[str, list] = {}
+        self.held = 0
+
+    def keys(self, variant: int, n: int) -> np.ndarray:
+        """Keys of the first ``n`` chunks of a text, by their places."""
+        base = xxhash.xxh64_intdigest(variant.to_bytes(8, "little"), self.seed)
+        return _mixed(np.uint64(base) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_STEP))
+
+    def gaps(self, keys: np.ndarray, k: int = 0) -> np.ndarray:
+        """Candidates between skip ``k`` and the one before it, of each key: geometric by the rate."""
+        if not 0 < self.rate < 1:
+            return np.full(len(keys), 0 if self.rate >= 1 else _NEVER)
+        u = ((_mixed(keys + np.uint64((k + 1) * _STEP & _MASK)) >> np.uint64(11)) + 0.5) / 2.0**53
+        return np.minimum(np.log(u) / np.log1p(-self.rate), _NEVER).astype(np.int64)
+
+    def skips(self, variant: int) -> Iterator[int]:
+        """Which of the candidates of a text's first chunk are dropped, ascending, as they come up."""
+        keys, at = self.keys(variant, 1), -1
+        for k in count():
+            at += 1 + int(self.gaps(keys, k)[0])
+            yield at
 
     def segment_short(self, chunk: str, variant: int) -> list[str]:
         """As :meth:`segment`; looks through all candidates for the best one, which is faster for few symbols."""
-        symbols, places = list(chunk), list(range(len(chunk)))
-        rank, limit = self.rank.get, self.limit
+        return self.merged_short(chunk, self.skips(variant))[0]
+
+    def segment(self, chunk: str, variant: int) -> list[str]:
+        """Pieces of one chunk that stands first in a text."""
+        return self.merged(chunk, self.skips(variant))[0]
+
+    def merged_short(self, chunk: str, skips: Iterator[int]) -> tuple[list[str], int]:
+        """As :meth:`merged`."""
+        symbols = list(chunk)
+        rank, came, skip = self.rank.get, 0, next(skips, _NEVER)
         none = float("inf")
         waiting = [rank(a + b, none) for a, b in zip(symbols, symbols[1:])]
-        key = self.key(chunk, variant) if limit else 0
         while waiting:
             best = min(waiting)
             if best == none:
                 break
             i = waiting.index(best)
-            if limit and self.skips(key, places[i], best):
+            came += 1
+            if came > skip:
+                skip = next(skips, _NEVER)
                 waiting[i] = none
                 continue
             symbols[i] += symbols.pop(i + 1)
-            del places[i + 1], waiting[i]
+            del waiting[i]
             if i:
                 waiting[i - 1] = rank(symbols[i - 1] + symbols[i], none)
             if i < len(waiting):
                 waiting[i] = rank(symbols[i] + symbols[i + 1], none)
-        return symbols
+        return symbols, came
 
-    def segment(self, chunk: str, variant: int) -> list[str]:
-        """Pieces of one chunk: characters merged by agenda, candidates skipped by their keyed hash."""
+    def merged(self, chunk: str, skips: Iterator[int]) -> tuple[list[str], int]:
+        """Pieces of one chunk, characters merged by agenda without the candidates that ``skips`` numbers; how many came up."""
         n = len(chunk)
         symbols: list[str | None] = list(chunk)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        rank, limit = self.rank, self.limit
-        key = self.key(chunk, variant)
+        rank, came, skip = self.rank, 0, next(skips, _NEVER)
         agenda: list[tuple[float, int, int, str]] = []
 
         def offer(left: int, right: int) -> None:
@@ -110,7 +151,9 @@ class Encoder:
             best, left, right, joined = heapq.heappop(agenda)
             if symbols[left] is None or symbols[right] is None or after[left] != right or len(symbols[left]) + len(symbols[right]) != len(joined):
                 continue
-            if limit and self.skips(key, left, best):
+            came += 1
+            if came > skip:
+                skip = next(skips, _NEVER)
                 continue
             symbols[left], symbols[right] = joined, None
             after[left] = after[right]
@@ -118,17 +161,18 @@ class Encoder:
                 before[after[right]] = left
             offer(before[left], left)
             offer(left, after[left])
-        return [s for s in symbols if s is not None]
+        return [s for s in symbols if s is not None], came
 
-    def chunk_ids(self, chunk: str, variant: int) -> tuple[int, ...]:
+    def node(self, chunk: str, skips: tuple[int, ...]) -> list:
         out: list[int] = []
-        for s in (self.segment_short if len(chunk) <= SHORT else self.segment)(chunk, variant):
+        pieces, came = (self.merged_short if len(chunk) <= SHORT else self.merged)(chunk, iter(skips))
+        for s in pieces:
             found = self.ids.get(s)
             if found is not None:
                 out.append(found)
             else:
                 out += [self.bytes[b] for c in s for b in (SPACE if c == _OWN else c).encode()]
-        return tuple(out)
+        return [tuple(out), came, None]
 
     def encode(self, text: str, variant: int = 0) -> list[int]:
         """Piece ids of a whole text; none for an empty text."""
@@ -137,23 +181,57 @@ class Encoder:
         if SPACE in text:
             text = text.replace(SPACE, _OWN)
         chunks = _CHUNK.findall(SPACE + text.replace(" ", SPACE))
-        known = self.known.setdefault(variant, {})
-        found = list(map(known.get, chunks))
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    found[i] = self.remembered(known, chunks[i], variant)
-        return list(chain.from_iterable(found))
-
-    def remembered(self, known: dict[str, tuple[int, ...]], chunk: str, variant: int) -> tuple[int, ...]:
-        ids = known.get(chunk)
-        if ids is None:
-            ids = self.chunk_ids(chunk, variant)
-            if len(chunk) <= 64:
-                if len(known) >= REMEMBER:
-                    known.clear()
-                known[chunk] = ids
-        return ids
+        if self.held >= REMEMBER:
+            self.known.clear()
+            self.held = 0
+        nodes = list(map(self.known.get, chunks))
+        if None in nodes:
+            for i, node in enumerate(nodes):
+                if node is None:
+                    nodes[i] = self.remembered(chunks[i])
+        if self.rate > 0:
+            keys = self.keys(variant, len(chunks))
+            first = self.gaps(keys)
+            for i in np.flatnonzero(first < np.array([x[1] for x in nodes])).tolist():
+                nodes[i] = self.followed(chunks[i], nodes[i], keys[i : i + 1], int(first[i]))
+        return list(chain.from_iterable([x[0] for x in nodes]))
+
+    def remembered(self, chunk: str) -> list:
+        """A chunk's segmentation without skips."""
+        node = self.known.get(chunk)
+        if node is None:
+            node = self.node(chunk, ())
+            if len(chunk) <= 64 and self.held < REMEMBER:
+                self.known[chunk] = node
+                self.held += 1
+        return node
+
+    def followed(self, chunk: str, node: list, key: np.ndarray, at: int) -> list:
+        """The segmentation after the skip ``at`` and those that follow it by the key."""
+        if len(chunk) > 64:  # not remembered: all skips at once
+            return self.node(chunk, tuple(self.further(key, at, 4 * len(chunk))))
+        skips: tuple[int, ...] = ()
+        for at in self.further(key, at, _NEVER):
+            if at >= node[1]:
+                break
+            skips += (at,)
+            found = node[2] and node[2].get(at)
+            if not found:
+                found = self.node(chunk, skips)
+                if self.held < REMEMBER:
+                    node[2] = node[2] or {}
+                    node[2][at] = found
+                    self.held += 1
+            node = found
+        return node
+
+    def further(self, key: np.ndarray, at: int, end: int) -> Iterator[int]:
+        """The skips of a key from its first one on, below ``end``."""
+        base, scale, k = int(key[0]), self.rate < 1 and log1p(-self.rate), 0
+        while at < end:
+            yield at
+            k += 1
+            at += 1 + (int(min(log(((_mixed_int(base + (k + 1) * _STEP & _MASK) >> 11) + 0.5) / 2.0**53) / scale, _NEVER)) if scale else 0)
 
     def decode(self, ids: list[int]) -> str:
         """The text that :meth:`encode` had: pieces joined, byte pieces read as UTF-8, the leading space dropped."""

@@ -37,6 +37,34 @@ def test_seeds_and_variants_differ():
     assert all(len(e.encode(text, 0)) >= len(PLAIN.encode(text)) for e in (DROPPED, other))
 
 
+def test_occurrences_and_documents_vary_and_memory_does_not_matter():
+    word, n = " internationalization", 300
+    per = lambda e, v: [tuple(e.encode((word * n)[1:], v))]
+    seen = {tuple(DROPPED.encode((word * n)[1:], v)) for v in range(50)}
+    assert len(seen) == 50
+    ends, forms, ids = [DROPPED.decode(DROPPED.encode(word[1:], 0))], set(), DROPPED.encode((word * n)[1:], 0)
+    form: list[int] = []
+    for i in ids:
+        if form and DROPPED.raw[i].startswith(b" "):
+            forms.add(tuple(form))
+            form = []
+        form.append(i)
+    assert ends == [word[1:]] and len(forms) > 20
+    fresh = sd.Encoder(PROTO, 0.3)
+    assert per(fresh, 7) == per(DROPPED, 7)
+    keys = DROPPED.keys(3, 200_000)
+    assert abs((DROPPED.gaps(keys) == 0).mean() - 0.3) < 0.01 and abs((DROPPED.gaps(keys, 1) == 0).mean() - 0.3) < 0.01
+    assert all(list(DROPPED.further(keys[i : i + 1], int(DROPPED.gaps(keys[i : i + 1])[0]), 60)) == _ordinals(keys[i : i + 1]) for i in range(50))
+
+
+def _ordinals(key):
+    at, out = -1, []
+    for k in range(100):
+        at += 1 + int(DROPPED.gaps(key, k)[0])
+        out += [at] if at < 60 else []
+    return out
+
+
 def test_odd_documents(odd, empty):
     got = sd.encoded(odd, rate=0.2).collect()
     assert all(r["lossless"] for r in got) and len(got) == odd.count()
