@@ -1,3 +1,4 @@
+import numpy as np
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -24,10 +25,60 @@ def test_decoding_gives_the_text_back(text, variant):
     assert DROPPED.decode(ids) == text and DROPPED.encode(text, variant) == ids
 
 
-@given(st.text(alphabet="▁theinandroué", min_size=1, max_size=24), st.integers(0, 3))
-@settings(max_examples=300, deadline=None)
-def test_heap_and_scan_agree(chunk, variant):
-    assert DROPPED.segment(chunk, variant) == DROPPED.segment_short(chunk, variant)
+def plain_loop(e, text, variant):
+    """Every chunk's agenda by looking through all neighbours again for each candidate."""
+    out, place = [], 0
+    rank = {int(i): r for r, i in enumerate(e.ranked)}
+    symbols = [[c] for c in " " + text] if text else []
+    chunks = []
+    for i, (c,) in enumerate(symbols):
+        if c == " " and (i == 0 or symbols[i - 1] != [" "]):
+            chunks.append("")
+        chunks[-1] += c
+    for place, chunk in enumerate(chunks):
+        key = (e.base(variant) + (place + 1) * sd._STEP) % 2**64
+        key = sd._mixed_int(key)
+        now = [i for c in chunk for i in ([e.ids[sd.SPACE]] if c == " " else [e.ids[c]] if c in e.ids and c != sd.SPACE else [int(e.bytes[b]) for b in c.encode()])]
+        name = lambda i: e.pieces[i] if i not in set(e.bytes.tolist()) else "\0"
+        dropped, number = set(), 0  # pairs of symbols that were skipped, by place
+        at = list(range(len(now)))
+        while True:
+            found = [(rank[e.ids[name(x) + name(y)]], p) for x, y, p, q in zip(now, now[1:], at, at[1:]) if name(x) + name(y) in e.ids and (p, x, q, y) not in dropped]
+            if not found:
+                break
+            _, p = min(found)
+            i = at.index(p)
+            number += 1
+            if sd._mixed_int((key + number * sd._STEP) % 2**64) >> 11 < int(e.limit):
+                dropped.add((p, now[i], at[i + 1], now[i + 1]))
+                continue
+            now[i : i + 2] = [e.ids[name(now[i]) + name(now[i + 1])]]
+            del at[i + 1]
+        out += now
+    return out
+
+
+@given(TEXT, st.integers(0, 3))
+@settings(max_examples=200, deadline=None)
+def test_against_a_plain_loop(text, variant):
+    for e in (PLAIN, DROPPED):
+        assert e.encode(text, variant) == plain_loop(e, text, variant)
+
+
+@given(st.text(alphabet="▁theinandroué", min_size=1, max_size=40), st.integers(0, 2**62))
+@settings(max_examples=200, deadline=None)
+def test_heap_and_columns_agree(chunk, key):
+    symbols = DROPPED._symbols([chunk])[0]
+    got = DROPPED.merged_together(symbols[:, None], np.array([key], np.uint64))[:, 0]
+    assert DROPPED.merged(symbols.tolist(), key) == got[got >= 0].tolist()
+
+
+def test_together_and_alone_agree_and_long_chunks_too():
+    texts = ["", "a b", "", "word " * 50, "x" * 1000 + " y", "international" * 30, "é▁日本\U0001f600 " * 9, "   ", "tail  "]
+    ids, sizes = DROPPED.encode_all(texts, list(range(len(texts))))
+    ends = np.cumsum(sizes)
+    for i, (t, s, e) in enumerate(zip(texts, ends - sizes, ends)):
+        assert ids[s:e].tolist() == DROPPED.encode(t, i) == plain_loop(DROPPED, t, i) and DROPPED.decode(ids[s:e].tolist()) == t
 
 
 def test_seeds_and_variants_differ():
@@ -37,9 +88,8 @@ def test_seeds_and_variants_differ():
     assert all(len(e.encode(text, 0)) >= len(PLAIN.encode(text)) for e in (DROPPED, other))
 
 
-def test_occurrences_and_documents_vary_and_memory_does_not_matter():
+def test_occurrences_and_documents_vary():
     word, n = " internationalization", 300
-    per = lambda e, v: [tuple(e.encode((word * n)[1:], v))]
     seen = {tuple(DROPPED.encode((word * n)[1:], v)) for v in range(50)}
     assert len(seen) == 50
     ends, forms, ids = [DROPPED.decode(DROPPED.encode(word[1:], 0))], set(), DROPPED.encode((word * n)[1:], 0)
@@ -50,19 +100,16 @@ def test_occurrences_and_documents_vary_and_memory_does_not_matter():
             form = []
         form.append(i)
     assert ends == [word[1:]] and len(forms) > 20
-    fresh = sd.Encoder(PROTO, 0.3)
-    assert per(fresh, 7) == per(DROPPED, 7)
-    keys = DROPPED.keys(3, 200_000)
-    assert abs((DROPPED.gaps(keys) == 0).mean() - 0.3) < 0.01 and abs((DROPPED.gaps(keys, 1) == 0).mean() - 0.3) < 0.01
-    assert all(list(DROPPED.further(keys[i : i + 1], int(DROPPED.gaps(keys[i : i + 1])[0]), 60)) == _ordinals(keys[i : i + 1]) for i in range(50))
-
-
-def _ordinals(key):
-    at, out = -1, []
-    for k in range(100):
-        at += 1 + int(DROPPED.gaps(key, k)[0])
-        out += [at] if at < 60 else []
-    return out
+    keys = DROPPED.keys(np.full(200_000, DROPPED.base(3), np.uint64), np.arange(200_000))
+    assert all(abs(DROPPED.skipped(keys, k).mean() - 0.3) < 0.01 for k in (0, 1, 5))
+    assert abs((DROPPED.skipped(keys, 0) & DROPPED.skipped(keys, 1)).mean() - 0.09) < 0.01
+
+
+def test_the_query(spark, tmp_path, odd):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sd.op3_sentencepiece(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "variant", "n_pieces", "ids", "lossless"]
+    assert all(r["n_pieces"] == len(r["ids"]) and r["lossless"] for r in got.collect())
 
 
 def test_odd_documents(odd, empty):
