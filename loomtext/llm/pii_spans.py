@@ -5,8 +5,8 @@ without a plus sign, addresses that spell out the at sign or the dots or mask so
 that only fail the length or the check digit. Every candidate, base or not, is voted on by labelers: regular expressions and checksums, gazetteers of
 domain endings, number prefixes and reserved ranges, and words of the context. The votes of all candidates are counted
 by pattern (a bounded table, however large the corpus); expectation-maximisation on the counts estimates each labeler's
-reliability for each kind and the probability of each pattern; a logistic classifier trained on those probabilities with
-the candidates' own marks decides which candidates become spans.
+reliability for each kind and the probability of each pattern; a logistic classifier of the votes, trained on those probabilities,
+decides which candidates become spans.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ CUT = 0.9
 CONTEXT = 40
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")  # as the contract's pattern: no match begins within a run of digits
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -52,6 +52,9 @@ HINTS = {
 AGAINST = re.compile(r"version|token|hash|sha|isbn|issn|doi|http|/|=|\bid\b|#", re.I)
 #: Votes of one candidate: shape, checksum, gazetteer, context, surroundings; each 0 (against), 1 (abstains), 2 (for).
 LABELERS = 5
+CHECKSUM = 1
+#: Imagined votes, as a multiple of a kind's candidates: of each labeler, and of that of check digits and lengths.
+IMAGINED = (0.2, 5.0)
 
 
 def luhn(digits: str) -> bool:
@@ -146,8 +149,9 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> int:
         first = int(d and s.split(".")[0] or 0)
         listed = 0 if first == 0 or first >= 224 else 2
     else:
-        listed = 2 if s.startswith("+") and d.startswith(CALLING) else 1
-        checksum = 2 if 10 <= len(d) <= 15 else 1
+        d = d[2:] if s.startswith("00") else d
+        listed = (2 if d.startswith(CALLING) else 0) if s[0] in "+0" else 1
+        checksum = 2 if 10 <= len(d) <= 15 else 0 if s[0] in "+0" else 1  # the digits of an international number
     context = 2 if HINTS[kind].search(before) else 0 if AGAINST.search(before[-12:]) else 1
     glued = (start and (text[start - 1].isalnum() or text[start - 1] in ".-_")) or after.isalnum() or after in ("-", "_", "/") and after != ""
     around = 0 if glued else 2
@@ -157,18 +161,24 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> int:
     return code
 
 
+def _net(code: int) -> int:
+    """Votes for less votes against."""
+    return sum(code // 3**i % 3 - 1 for i in range(LABELERS))
+
+
 def candidates(text: str) -> list[tuple[str, int, int, bool, int]]:
     """(kind, start, end, base, votes): base spans, and wider candidates that overlap none of them or each other."""
     base = base_spans(text)
     out = [(k, s, e, True, votes(text, k, s, e, True)) for k, s, e in base]
     taken = sorted((s, e) for _, s, e in base)
-    wide = sorted(set(_wide_spans(text)), key=lambda x: (x[1], -x[2], RANK[x[0]]))
+    wide = [(s, -e, votes(text, k, s, e, False), k) for k, s, e in set(_wide_spans(text))]
     i, free = 0, 0
-    for k, s, e in wide:
+    for s, e, code, k in sorted(wide, key=lambda x: (*x[:2], -_net(x[2]), RANK[x[3]])):  # of equal spans the better vote
+        e = -e
         while i < len(taken) and taken[i][1] <= s:
             i += 1
         if s >= free and not any(a < e for a, _ in taken[i : i + 1]):
-            out.append((k, s, e, False, votes(text, k, s, e, False)))
+            out.append((k, s, e, False, code))
             free = e
     return out
 
@@ -178,36 +188,44 @@ def digits_of(code: np.ndarray) -> np.ndarray:
 
 
 def reliabilities(code: np.ndarray, base: np.ndarray, count: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Probability that each vote pattern is personal data, by expectation-maximisation on the patterns' counts."""
+    """Probability that each vote pattern is personal data, by expectation-maximisation on the patterns' counts.
+
+    It starts from what the base patterns say; neither they nor any vote has a fixed say after that. ``IMAGINED`` votes
+    are those of labelers that are right more often than not, and for check digits and lengths, which no true number
+    fails, nearly always; they keep a kind of few true candidates from turning around.
+    """
     v = digits_of(code)
-    p = np.where((v == 2).sum(1) > (v == 0).sum(1), 0.8, 0.2)
-    p = np.where(base, np.maximum(p, 0.8), p)
+    p = np.where(base, 0.9, np.where((v == 2).sum(1) > (v == 0).sum(1), 0.5, 0.1))
+    total = count.sum()
     for _ in range(rounds):
-        share = np.clip((p @ count) / count.sum(), 0.01, 0.99)
+        share = np.clip((p @ count) / total, 0.01, 0.99)
         logit = np.full(len(code), np.log(share / (1 - share)))
         for j in range(LABELERS):
-            # votes count with a few imagined ones that agree with the truth more often than not
-            for_ = np.bincount(v[:, j], p * count, 3) + [0.2, 1, 1]
-            against = np.bincount(v[:, j], (1 - p) * count, 3) + [1, 1, 0.2]
+            wrong = 0.001 if j == CHECKSUM else 0.1
+            imagined = np.array([wrong, 0.5, 0.5 - wrong]) * (IMAGINED[j == CHECKSUM] * total + 1)
+            for_ = np.bincount(v[:, j], p * count, 3) + imagined
+            against = np.bincount(v[:, j], (1 - p) * count, 3) + imagined[::-1]
             logit += np.log(for_ / for_.sum() / (against / against.sum()))[v[:, j]] * (v[:, j] != 1)
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return p
 
 
-def classifier(code: np.ndarray, base: np.ndarray, count: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Weights of a logistic model of the votes (and of being a base span), trained on soft labels."""
-    x = span_features(code, base)
+def classifier(code: np.ndarray, count: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Weights of a logistic model of the votes, trained on soft labels by Newton steps."""
+    x = span_features(code)
     w = np.zeros(x.shape[1])
     weight = count / count.sum()
-    for _ in range(2000):
+    for _ in range(100):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += 1.0 * (x.T @ (weight * (p - q)) - 1e-4 * w)
+        curve = (x * (weight * q * (1 - q))[:, None]).T @ x + 1e-4 * np.eye(x.shape[1])
+        step = np.linalg.solve(curve, x.T @ (weight * (p - q)) - 1e-4 * w)
+        w += step * min(1.0, 2 / max(1e-12, np.abs(step).max()))
     return w
 
 
-def span_features(code: np.ndarray, base: np.ndarray) -> np.ndarray:
+def span_features(code: np.ndarray) -> np.ndarray:
     v = digits_of(code)
-    return np.concatenate([np.ones((len(code), 1)), base[:, None].astype(float), (v == 2), (v == 0)], 1).astype(float)
+    return np.concatenate([np.ones((len(code), 1)), v == 2, v == 0], 1).astype(float)
 
 
 def fit(counts: list[tuple[str, bool, int, int]]) -> dict[str, np.ndarray]:
@@ -217,20 +235,18 @@ def fit(counts: list[tuple[str, bool, int, int]]) -> dict[str, np.ndarray]:
         own = sorted((b, c, n) for k, b, c, n in counts if k == kind)
         if own:
             base, code, n = (np.array(x) for x in zip(*own))
-            p = reliabilities(code, base.astype(bool), n.astype(float))
-            out[kind] = classifier(code, base.astype(bool), n.astype(float), np.where(base, np.maximum(p, 0.99), p))
+            out[kind] = classifier(code, n.astype(float), reliabilities(code, base.astype(bool), n.astype(float)))
     return out
 
 
+def probability(model: dict[str, np.ndarray], kind: str, code: int) -> float:
+    """The classifier's probability that a candidate of these votes is personal data."""
+    return 1 / (1 + np.exp(-float(np.clip(span_features(np.array([code])) @ model[kind], -30, 30)[0]))) if kind in model else 0.0
+
+
 def accepts(model: dict[str, np.ndarray], kind: str, code: int, base: bool, cut: float = CUT) -> bool:
-    """Base spans stay; others need the classifier and two votes for them."""
-    if base:
-        return True
-    v = digits_of(np.array([code]))[0]
-    if kind not in model or (v == 2).sum() < 2:
-        return False
-    q = 1 / (1 + np.exp(-float((span_features(np.array([code]), np.array([False])) @ model[kind])[0])))
-    return q >= cut
+    """Base spans stay; of all others the classifier decides."""
+    return base or probability(model, kind, code) >= cut
 
 
 _SPAN = "array<struct<kind:string,start:long,end:long,base:boolean,votes:int>>"
@@ -257,8 +273,8 @@ def vote_counts(found: DataFrame) -> list[tuple[str, bool, int, int]]:
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
     """(id, base, spans) of every row, both arrays of (kind, start, end) by start, then kind.
 
-    Offsets are code points, ends exclusive. Null and empty texts have no spans; repeated rows stay repeated; an empty
-    table gives no rows; other columns are ignored.
+    Offsets are code points, ends exclusive. Null and empty texts have no spans; very long texts are read whole, in time
+    linear in their length; repeated rows stay repeated; an empty table gives no rows; other columns are ignored.
     """
     found = written(candidate_table(docs, id_col, text_col), "candidates")
     counts = vote_counts(found)
@@ -271,8 +287,12 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut:
 
 
 def masked(docs: DataFrame, text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """The documents with every span replaced by its kind in angle brackets; ``n_chars`` follows if it is there."""
-    model = fit(vote_counts(candidate_table(docs.withColumn("_lt_none", F.lit(None).cast("long")), "_lt_none", text_col)))
+    """The documents with every span replaced by its kind in angle brackets; ``n_chars`` follows if it is there.
+
+    Null and empty texts stay; very long texts are masked whole; repeated rows stay repeated; all columns are kept,
+    whatever their names; an empty table gives no rows.
+    """
+    model = fit(vote_counts(candidate_table(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text")))))
 
     @F.pandas_udf("string")
     def mask(texts):  # noqa: ANN001, ANN202

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -74,11 +75,65 @@ def test_spelled_out_and_starred_addresses_become_spans(spark):
     assert {r["text"] for r in ps.masked(df).collect() if 100 <= r["doc_id"] < 200} == {"please write to <email> today"}
 
 
-def test_no_single_vote_decides_against_the_classifier():
+def test_the_classifier_follows_the_probabilities():
     code = lambda s: int(s, 3)
     patterns = [("card", True, code("22222"), 50), ("card", False, code("20222"), 50), ("card", False, code("20010"), 50)]
-    model = ps.fit(patterns)
-    assert [ps.accepts(model, *p[:1], p[2], p[1], 0.5) for p in patterns] == [True, True, False]
+    model, c = ps.fit(patterns), np.array([p[2] for p in patterns])
+    em = ps.reliabilities(c, np.array([p[1] for p in patterns]), np.array([50.0] * 3))
+    assert np.allclose([ps.probability(model, "card", x) for x in c], em, atol=0.05)
+    assert [ps.accepts(model, p[0], p[2], p[1]) for p in patterns] == [True, em[1] >= ps.CUT, False]
+    assert ps.probability(model, "email", c[0]) == 0.0
+
+
+def planted(n=1200):
+    """Texts with one span or decoy each: (texts, {(text, kind, start, end)} of the true ones)."""
+    rng = np.random.default_rng(1)
+    word = lambda k: " ".join(rng.choice("the of and to report plan meeting team work at home day year group time".split(), k))
+    texts, truth = [], set()
+    for i in range(n):
+        name, host, end = f"{rng.choice(['john', 'mary.lee', 'a.b'])}{i}", rng.choice(["example", "site", "mail9"]), rng.choice(["com", "org", "de"])
+        digits = lambda k: "".join(map(str, rng.integers(1, 10, k)))
+        kind, span = [
+            ("email", f"{name} (at) {host} (dot) {end}"), ("email", f"{name}[at]{host}.{end}"), ("email", f"{name} at {host} dot {end}"), ("email", f"{name[0]}***@{host}.{end}"),
+            ("phone", f"(030) {digits(7)}"), ("phone", f"0049 {digits(3)} {digits(7)}"), ("email", f"{name}@{host}.{end}"), ("phone", f"+49 {digits(3)} {digits(7)}"),
+            (None, f"look at home.page{i} now"), (None, f"no 00{digits(2)} {digits(5)} 7"), (None, digits(16)), (None, f"in {digits(4)}"),
+        ][i % 12]
+        before = word(10) + rng.choice([" ", " call ", " contact ", " mail "])
+        if kind:
+            truth.add((i, kind, len(before), len(before) + len(span)))
+        texts.append(f"{before}{span} {word(5)}")
+    return texts, truth
+
+
+def test_planted_spans_that_no_base_pattern_has(spark):
+    texts, truth = planted()
+    got = ps.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    spans, base = ({(r["id"], x["kind"], x["start"], x["end"]) for r in got for x in r[c]} for c in ("spans", "base"))
+    added, wanted = spans - base, truth - base
+    assert len(wanted) == 600 and len(added & wanted) >= 0.95 * len(wanted)
+    assert len(added & truth) >= 0.95 * len(added)
+
+
+def test_the_query(spark, tmp_path, odd):
+    odd.unionByName(spark.createDataFrame([(77, "card 4111 1111 1111 1111, a@b.de 1.2.3.4 +49 30 1234567890", *[None] * 9)], odd.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = ps.op2_pii(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    assert [t for _, t in got.dtypes] == ["bigint"] * 5 + ["string"] * 2
+    text = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+    for r in got.collect():
+        own = {text(brute(x["text"] or "")) for x in spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id <=> " + ("null" if r["doc_id"] is None else str(r["doc_id"]))).collect()}
+        assert r["base_sha256"] in {hashlib.sha256(x.encode()).hexdigest() for x in own}
+        assert set(r["spans"].split(",")) >= set(min(own, key=len).split(","))
+        if r["doc_id"] == 77:
+            assert [r[f"n_{k}"] for k in ps.KINDS] == [1, 1, 1, 1]
+
+
+def test_long_runs_take_linear_time():
+    n = 1_000_000
+    for text in ("1" * n, "a" * n, "a (at) dot " + "a" * n, "1." * (n // 2), "+1 " * (n // 3), "a(at)" * (n // 5), "a@" * (n // 2), "*@" * (n // 2), "x (at) " + "a dot " * (n // 6), "0" * n):
+        began = time.process_time()
+        ps.candidates(text)
+        assert time.process_time() - began < 5, text[:20]
 
 
 def test_few_candidates_are_judged_like_many(spark):
