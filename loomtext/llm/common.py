@@ -58,6 +58,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def hashed_share(*cols: str) -> Column:
+    """Share of 1 that the columns' hash is at: a row of a repeatable sample has a small one."""
+    return F.xxhash64(*cols).bitwiseAND((1 << 30) - 1) / (1 << 30)
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as remainder null."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
@@ -127,12 +140,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(rounds):
         both = now.select(F.inline(pair))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # written tables on both sides of a join, so that a node with very many neighbours can be split as skew
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.inline(F.expr("array(struct(u as src, m as dst), struct(v as src, m as dst))"))).where("src <> dst").distinct()
         after = written(small, "edges")
-        discard(now)
+        for done in (now, least, large, low):
+            discard(done)
         now = after
         state = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:

@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_mod, table, text_bytes, written
+from .common import crc_mod, hashed_share, table, text_bytes, written
 
 #: Bound of the documents of one language that a model is fitted on, chosen by hashed id.
 FIT_ROWS = 400
+#: Bound of the documents of all languages; with many languages each has fewer.
+ALL_ROWS = 20_000
 BUCKETS = 1 << 12
 EPOCHS = 12
 PENALTY = 1e-5
@@ -92,21 +94,32 @@ class Model:
     family_weights: np.ndarray
     pair_weights: dict[tuple[str, str], np.ndarray]
 
-    def predict(self, x: np.ndarray) -> tuple[str, float]:
-        margins = self.family_weights @ x
-        best = int(margins.argmax())
-        certain = 1 / (1 + np.exp(-2 * np.clip(margins[best], -15, 15))) if len(self.families) > 1 else 1.0
-        members = [lang for lang in self.languages if family(lang) == self.families[best]]
-        won = {lang: [0, 0.0] for lang in members}
-        for a, b in itertools.combinations(members, 2):
-            m = float(self.pair_weights[a, b] @ x)
-            won[a if m >= 0 else b][0] += 1
-            won[a][1] += m
-            won[b][1] -= m
-        lang = max(members, key=lambda c: (won[c][0], won[c][1]))
-        if len(members) > 1:
-            certain *= 1 / (1 + np.exp(-2 * np.clip(won[lang][1] / (len(members) - 1), -15, 15)))
-        return lang, float(certain)
+    def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Language and certainty of each row of ``x``: one product for the families, one for each family's pairs."""
+        margins = x @ self.family_weights.T
+        best = margins.argmax(1)
+        sure = lambda m: 1 / (1 + np.exp(-2 * np.clip(m, -15, 15)))
+        certain = sure(margins.max(1)) if len(self.families) > 1 else np.ones(len(x))
+        names = np.empty(len(x), object)
+        for f, name in enumerate(self.families):
+            members = [lang for lang in self.languages if family(lang) == name]
+            own = np.flatnonzero(best == f)
+            won, total = np.zeros((len(own), len(members))), np.zeros((len(own), len(members)))
+            pairs = list(itertools.combinations(range(len(members)), 2))
+            if len(own) and pairs:
+                m = x[own] @ np.stack([self.pair_weights[members[a], members[b]] for a, b in pairs]).T
+                for k, (a, b) in enumerate(pairs):
+                    won[:, a] += m[:, k] >= 0
+                    won[:, b] += m[:, k] < 0
+                    total[:, a] += m[:, k]
+                    total[:, b] -= m[:, k]
+            if len(own):
+                most = won == won.max(1, keepdims=True)
+                choice = np.where(most, total, -np.inf).argmax(1)
+                names[own] = np.array(members, object)[choice]
+                if pairs:
+                    certain[own] *= sure(total[np.arange(len(own)), choice] / (len(members) - 1))
+        return names.tolist(), certain
 
 
 def fit(x: np.ndarray, langs: np.ndarray) -> Model:
@@ -123,15 +136,23 @@ def fit(x: np.ndarray, langs: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Fit on at most ``fit_rows`` documents of each language, from rows that are not held out, chosen by hashed id."""
-    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 4) != 2)).select("doc_id", "lang")
-    counts = own.groupBy("lang").count()
-    share = F.xxhash64("doc_id", "lang").bitwiseAND((1 << 30) - 1) / (1 << 30)
+    """Fit on at most ``fit_rows`` documents of each language, and ``ALL_ROWS`` of all, that are not held out.
+
+    They are chosen by hashed id. Null languages, texts and ids are left out, as are texts without three letters; very
+    long texts are read whole; rows that repeat id, language and text count once; other columns are ignored. Without any
+    language the model is empty.
+    """
+    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 4) != 2))
+    own = own.select(F.col("doc_id").cast("long").alias("id"), "lang", "text")
+    counts = written(own.groupBy("lang").count(), "counts")
+    each = max(1, min(fit_rows, ALL_ROWS // max(1, counts.count())))
+    share = hashed_share("id", "lang", "copy")
+    keyed = own.select("id", "lang", F.xxhash64("text").alias("copy")).join(counts, "lang")
     # twice the rows that are needed, so that the ranking below stays small
-    likely = own.join(F.broadcast(counts), "lang").where(share * F.col("count") <= 2 * fit_rows + 50)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(share, "doc_id"))
-    chosen = written(likely.withColumn("rank", rank).where(F.col("rank") <= fit_rows).select("doc_id", "lang").distinct(), "languages")
-    rows = docs.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text")
+    likely = keyed.where(share * F.col("count") <= 2 * each + 50).select("id", "lang", "copy").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(share, "id", "copy"))
+    chosen = written(likely.withColumn("rank", rank).where(F.col("rank") <= each).select("id", "lang", "copy"), "languages")
+    rows = own.withColumn("copy", F.xxhash64("text")).join(F.broadcast(chosen), ["id", "lang", "copy"]).select("id", "lang", "text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,10 +163,10 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
                     x = vector(part)
                     some = np.flatnonzero(x)
                     if len(some):
-                        yield pa.record_batch([pa.array([i], pa.int64()), pa.array([lang]), pa.array([some.astype(np.int32)], pa.list_(pa.int32())), pa.array([x[some]], pa.list_(pa.float32()))], ["doc_id", "lang", "at", "x"])
+                        yield pa.record_batch([pa.array([i], pa.int64()), pa.array([lang]), pa.array([some.astype(np.int32)], pa.list_(pa.int32())), pa.array([x[some]], pa.list_(pa.float32()))], ["id", "lang", "at", "x"])
 
-    got = rows.mapInArrow(kernel, "doc_id long, lang string, at array<int>, x array<float>").toPandas()
-    got = got.assign(n=got["at"].map(len), sum=got["x"].map(sum)).sort_values(["doc_id", "lang", "n", "sum"], kind="stable")
+    got = rows.mapInArrow(kernel, "id long, lang string, at array<int>, x array<float>").distinct().toPandas()
+    got = got.assign(n=got["at"].map(len), sum=got["x"].map(sum)).sort_values(["id", "lang", "n", "sum"], kind="stable")
     x = np.zeros((len(got), BUCKETS), np.float32)
     for r, (at, value) in enumerate(zip(got["at"], got["x"])):
         x[r, at] = value
@@ -155,13 +176,23 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row; ``und`` with score 0 where the text is null or has no letter.
 
-    Without any language to learn every text is ``und``.
+    Without any language to learn every text is ``und``. Very long texts are read whole; repeated rows stay repeated and
+    agree; a null id stays null; an empty table gives no rows; other columns are ignored.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [model.predict(vector(t)) if model.languages and has_letter(t) else ("und", 0.0) for t in text_bytes(batch.column(1))]
-            yield pa.record_batch([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["id", "lang_pred", "score"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = text_bytes(part.column(1))
+                langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+                some = [i for i, t in enumerate(texts) if model.languages and has_letter(t)]
+                if some:
+                    names, certain = model.predict(np.stack([vector(texts[i]) for i in some]))
+                    scores[some] = certain
+                    for i, name in zip(some, names):
+                        langs[i] = name
+                yield pa.record_batch([part.column(0), pa.array(langs, pa.string()), pa.array(scores)], ["id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(kernel, "id long, lang_pred string, score double")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, table, written
+from .common import WORD, free_name, table, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -98,22 +98,24 @@ def mix(
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents as the mix takes them: whole repetitions as repeated rows, a part as a shortened text."""
-    same = Window.partitionBy("_lt_id", "_lt_size")
-    amounts = mix(docs, **options).select(F.col("id").alias("_lt_id"), F.col("size").alias("_lt_size"), F.col("taken").alias("_lt_taken"))
-    amounts = amounts.withColumn("_lt_twin", F.row_number().over(same.orderBy("_lt_taken")))  # rows with equal id and size stay apart
+    """The documents as the mix takes them: whole repetitions as repeated rows, a part as a shortened text.
+
+    Null, empty and wordless texts are never taken; very long texts may be cut like others; repeated rows count each;
+    null ids and sources stay; all columns are kept, whatever their names; an empty table gives no rows.
+    """
+    doc, size, taken, twin, turn = (free_name(docs, x) for x in ("doc", "size", "taken", "twin", "turn"))
+    amounts = mix(docs, **options).where("taken > 0").select(F.col("id").alias(doc), F.col("size").alias(size), F.col("taken").alias(taken))
+    same = Window.partitionBy(doc, size)
+    amounts = amounts.withColumn(twin, F.row_number().over(same.orderBy(taken))).alias("a")  # rows with equal id and size stay apart
     text = F.col("text")
     words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
-    rest = (F.col("_lt_taken") - F.col("_lt_turn") * F.col("_lt_size")).cast("int")
-    out = (
-        docs.withColumn("_lt_id", F.col("doc_id")).withColumn("_lt_size", word_count(text))
-        .withColumn("_lt_twin", F.row_number().over(same.orderBy("text")))
-        .alias("d")
-        .join(amounts.where("_lt_taken > 0").alias("a"), F.expr("d._lt_id <=> a._lt_id and d._lt_size = a._lt_size and d._lt_twin = a._lt_twin"))
-        .select("d.*", "a._lt_taken")
-        .withColumn("_lt_turn", F.explode(F.sequence(F.lit(0), F.expr("cast(ceil(_lt_taken / _lt_size) as int) - 1"))))
-        .withColumn("text", F.when((F.col("_lt_turn") + 1) * F.col("_lt_size") <= F.col("_lt_taken"), text).otherwise(F.array_join(F.slice(words, 1, F.greatest(rest, F.lit(1))), " ")))
-    )
+    own = docs.withColumn(doc, F.col("doc_id")).withColumn(size, word_count(text)).where(F.col(size) > 0)
+    own = own.withColumn(twin, F.row_number().over(same.orderBy("text"))).alias("d")
+    met = F.col(f"d.{doc}").eqNullSafe(F.col(f"a.{doc}")) & (F.col(f"d.{size}") == F.col(f"a.{size}")) & (F.col(f"d.{twin}") == F.col(f"a.{twin}"))
+    out = own.join(amounts, met).select("d.*", f"a.{taken}")
+    out = out.withColumn(turn, F.explode(F.sequence(F.lit(0), F.ceil(F.col(taken) / F.col(size)).cast("int") - 1)))
+    rest = (F.col(taken) - F.col(turn) * F.col(size)).cast("int")
+    out = out.withColumn("text", F.when((F.col(turn) + 1) * F.col(size) <= F.col(taken), text).otherwise(F.array_join(F.slice(words, 1, F.greatest(rest, F.lit(1))), " ")))
     n_chars = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return out.withColumns(n_chars).select(*docs.columns)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table, text_bytes, written
+from .common import crc_mod, hashed_share, table, text_bytes, written
 
 #: Bound of the labelled rows that a model is fitted on: those with the smallest hashed ids.
 FIT_ROWS = 20_000
@@ -181,21 +181,31 @@ def _feature_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Gam:
     """Fit on at most ``fit_rows`` labelled documents whose id is not held out, chosen by hashed id.
 
-    Labels other than 0 and 1 and null ids are left out; repeated rows count again as far as the bound goes.
+    Labels other than 0 and 1 and null ids are left out; null and empty texts are texts whose statistics are all 0;
+    very long texts are read whole; rows that repeat id and text count once; with no label at all every score is 0.5;
+    other columns, whatever their names, are ignored.
     """
-    known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("label"))
-    known = known.where(crc_mod("doc_id", 5) != 0).join(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id")
-    chosen = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "labelled")
-    rows = docs.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").alias("id"), "label", "text")
-    got = rows.mapInArrow(_feature_kernel, "id long, label int, x array<double>").toPandas()
-    got = got.sort_values(["id", "label"], kind="stable").iloc[: 2 * fit_rows]
+    known = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").cast("int").alias("label")).where(crc_mod("id", 5) != 0)
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    rows = texts.select("id", F.xxhash64("text").alias("copy")).distinct().join(known, "id")
+    share = hashed_share("id", "copy")
+    # a hashed share near what is needed comes first, so that the exact choice sorts few rows wherever they are
+    n = rows.count()
+    near = rows.where(share <= 1.1 * fit_rows / max(1, n) + 1000 / max(1, n))
+    chosen = written(near.orderBy(share, "id", "copy").limit(fit_rows), "labelled")
+    rows = texts.withColumn("copy", F.xxhash64("text")).join(F.broadcast(chosen), ["id", "copy"]).select("id", "label", "text")
+    got = rows.mapInArrow(_feature_kernel, "id long, label int, x array<double>").distinct().toPandas()
     x = np.array(got["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, got["id"].to_numpy()))  # the order of repeated ids must not matter
     return fit(x[order], got["label"].to_numpy(np.float64)[order])
 
 
 def scored(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row; null and empty texts are scored as texts whose statistics are all 0."""
+    """(id, score) of every row.
+
+    Null and empty texts are scored as texts whose statistics are all 0; very long texts are read whole; repeated rows
+    stay repeated and agree; a null id stays null; an empty table gives no rows; other columns are ignored.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +217,10 @@ def scored(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str =
 
 
 def accepted(docs: DataFrame, model: Gam, cut: float = CUT) -> DataFrame:
-    """The rows of ``docs`` whose text scores at least ``cut``, all columns kept."""
+    """The rows of ``docs`` whose text scores at least ``cut``, all columns kept whatever their names.
+
+    Null, empty, very long texts and repeated rows are scored as by :func:`scored`; an empty table gives no rows.
+    """
 
     @F.pandas_udf("double")
     def score(texts):  # noqa: ANN001, ANN202

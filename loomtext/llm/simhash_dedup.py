@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, dealt, sorted_runs, table, text_bytes, unite, written
+from .common import components, dealt, free_name, sorted_runs, table, text_bytes, unite, written
 
 SEED = 42
 SHINGLE = 4
@@ -37,6 +37,8 @@ GENERATOR = 0b101011100011
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Runs up to this length are compared by shifting the whole array, longer ones one row against the run.
 SHORT_RUN = 24
+#: Tasks over which the rows of one component are dealt.
+SALTS = 32
 
 
 def _remainder(v: int) -> int:
@@ -199,26 +201,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component_id) of every row.
 
     Null, empty and wordless texts have fingerprint 0 and link like any other; repeated rows stay repeated; a null id
-    keeps its row and never becomes a component's id (null if its component has no other); an empty table gives no
-    rows; other columns are ignored.
+    keeps its row and never becomes a component's id (null if its component has no other); very long texts are read
+    whole; an empty table gives no rows; other columns are ignored.
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
-    roots = components(fingerprint_links(distinct, bits)).withColumnRenamed("node", "fp")
-    linked = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    classes = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_fp = linked.select("fp", "root").join(classes, "root").select("fp", "component_id")
+    linked = written(components(fingerprint_links(distinct, bits)).withColumnRenamed("node", "fp").join(distinct, "fp"), "linked")
+    # one component may hold most fingerprints: its rows meet its smallest id in many tasks
+    classes = linked.groupBy("root").agg(F.min("rep").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(classes, ["root", "salt"]).select("fp", F.lit(True).alias("in_class"), "component_id")
+    of_fp = written(distinct.join(named, "fp", "left").select("fp", F.when(F.col("in_class"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id")), "classes")
     return fps.join(of_fp, "fp").select("id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The documents, one of each component: the one with the smallest doc_id (null last), all columns kept."""
-    key = F.xxhash64("doc_id", text_col)  # rows that agree in both are repeated rows
-    found = near_duplicates(docs.withColumn("_lt_key", key), "_lt_key", text_col, **options).select(F.col("id").alias("_lt_key"), "component_id").distinct()
-    ids = docs.select(key.alias("_lt_key"), F.col("doc_id").alias("_lt_doc")).distinct()
-    first = F.min_by("_lt_key", F.struct(F.col("_lt_doc").isNull(), "_lt_doc", "_lt_key")).alias("_lt_key")
-    kept = found.join(ids, "_lt_key").groupBy("component_id").agg(first).select("_lt_key")
-    return docs.withColumn("_lt_key", key).join(kept, "_lt_key", "left_semi").dropDuplicates(["_lt_key"]).select(*docs.columns)
+    """The documents, one of each component: the one with the smallest doc_id (null last), all columns kept.
+
+    Null, empty and wordless texts are alike and one of them stays; very long texts are compared whole; of repeated rows,
+    and of rows that agree in id and text, one stays; an empty table gives no rows. Columns may have any names.
+    """
+    key, mark = free_name(docs, "key"), F.xxhash64("doc_id", text_col, F.length(text_col))
+    rows = docs.select(mark.alias("id"), F.col("doc_id").alias("doc"), F.col(text_col).alias("text"))
+    found = near_duplicates(rows, "id", "text", **options).select("id", "component_id").distinct()
+    first = F.min_by("id", F.struct(F.col("doc").isNull(), "doc", "id")).alias(key)
+    kept = found.join(rows.select("id", "doc").distinct(), "id").groupBy("component_id").agg(first).select(key)
+    return docs.withColumn(key, mark).join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,25 +60,43 @@ def fingerprint(anchors: str) -> Column:
     return F.lower(F.array_join(F.transform(anchors, lambda x: F.lpad(F.hex(x["hash"].cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), ""))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of the distinct anchors of two fingerprints; 1 where both have none."""
-    x, y = F.array_distinct(F.transform(a, lambda p: p["hash"])), F.array_distinct(F.transform(b, lambda p: p["hash"]))
+def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Adds ``out``: likeness of two fingerprints by the anchors that match in order, 0 to 1; 1 where both have none.
+
+    The distinct anchors that both have stand in two orders, by their places in either text. ``in order`` are the first
+    of them and each that follows the same anchor in both; their number is set against the mean of the distinct anchors.
+    """
+    x, y, p, q, pp, qq = (f"_{k}_{out}" for k in ("x", "y", "p", "q", "pp", "qq"))
+    hashes = lambda c: F.array_distinct(F.transform(c, lambda e: e["hash"]))
+    steps = lambda c: F.zip_with(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(F.col(c), F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))), lambda u, v: F.xxhash64(u, v))
+    df = df.withColumns({x: hashes(F.col(a)), y: hashes(F.col(b))})
+    df = df.withColumns({p: F.array_intersect(x, y), q: F.array_intersect(y, x)})
+    df = df.withColumns({pp: steps(p), qq: steps(q)})
     both = F.size(x) + F.size(y)
-    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / both)
+    in_order = F.when(F.size(p) > 0, 1 + F.size(F.array_intersect(pp, qq))).otherwise(0)
+    return df.withColumn(out, F.when(both == 0, F.lit(1.0)).otherwise(2.0 * in_order / both)).drop(x, y, p, q, pp, qq)
 
 
-def matches(a: Column, b: Column) -> Column:
-    """Anchors of ``a`` that ``b`` has too, with both word positions (the first in ``b``): array of (at, other_at)."""
-    first = F.map_from_entries(F.transform(F.array_distinct(F.transform(b, lambda p: p["hash"])), lambda h: F.struct(h, F.array_min(F.transform(F.filter(b, lambda p: p["hash"] == h), lambda p: p["at"])))))
-    both = F.transform(a, lambda p: F.struct(p["at"].alias("at"), F.try_element_at(first, p["hash"]).alias("other_at")))
-    return F.filter(both, lambda p: p["other_at"].isNotNull())
+def with_matches(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Adds ``out``: the anchors of ``a`` that ``b`` has too, with their first positions in both: array of (at, other_at).
+
+    Anchors of both are sorted by hash, side and position, so that a match is a pair of neighbours.
+    """
+    u, f = f"_u_{out}", f"_f_{out}"
+    side = lambda c, k: F.transform(c, lambda e: F.struct(e["hash"].alias("hash"), F.lit(k).alias("side"), e["at"].alias("at")))
+    df = df.withColumn(u, F.array_sort(F.concat(side(a, 0), side(b, 1))))
+    before = lambda i: F.get(F.col(u), i - 1)
+    df = df.withColumn(f, F.filter(u, lambda e, i: (i == 0) | (before(i)["hash"] != e["hash"]) | (before(i)["side"] != e["side"])))
+    after = lambda i: F.get(F.col(f), i + 1)
+    pair = lambda e, i: F.when((e["side"] == 0) & (after(i)["hash"] == e["hash"]), F.struct(e["at"].alias("at"), after(i)["at"].alias("other_at")))
+    return df.withColumn(out, F.array_sort(F.filter(F.transform(f, pair), lambda e: e.isNotNull()))).drop(u, f)
 
 
 def id_ranges(ids: DataFrame) -> list[int]:
     """Ascending ids that cut the table into ranges of about ``RANGE_ROWS`` rows, at most ``MOST_RANGES``; the smallest id first."""
     low, n = ids.agg(F.min("id"), F.count("id")).first()
     if not n:
-        return []
+        return [0]  # null ids alone are one range
     k = min(MOST_RANGES, max(2, 1 << math.ceil(math.log2(max(1, n / RANGE_ROWS)))))
     at = F.percentile_approx("id", F.array(*(F.lit(i / k) for i in range(1, k))), F.lit(4 * k))
     return sorted({low, *ids.agg(at).first()[0]})
@@ -98,8 +116,6 @@ def with_next(rows: DataFrame, carry: list[str]) -> DataFrame:
     Rows are dealt by ranges of ids; a copy of each range's first row closes the range before it.
     """
     bounds = id_ranges(rows.select("id"))
-    if not bounds:
-        return rows.select("*", *(F.col(c).alias(f"next_{c}") for c in carry))
     order = F.struct("id", "text")
     firsts = rows.where(F.col("id").isin(bounds) | F.col("id").isNull()).withColumn("_range", range_of("id", bounds))
     firsts = firsts.groupBy("_range").agg(F.min_by(F.struct(*rows.columns), order).alias("_row")).select("_range", "_row.*")
@@ -113,8 +129,9 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, text, edited, anchors, edited_anchors, next_anchors) of every row.
 
     The edited text is the text with its last floor(n/2) code points replaced by as many first ones (or all) of the
-    next document. Null texts read as empty; wordless texts have no anchors, and two such are alike (1.0); rows of
-    equal id are ordered by text, null ids come first; a single row follows itself; an empty table gives no rows.
+    next document. Null texts read as empty; wordless texts have no anchors, and two such are alike (1.0); very long
+    texts are read whole; rows of equal id are ordered by text, null ids come first; a single row follows itself; an
+    empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = with_next(with_anchors(rows, "text", "anchors"), ["text", "anchors"])
@@ -125,12 +142,14 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_pairs(table(spark, sf_dir, "documents")).select(
+    pairs = edited_pairs(table(spark, sf_dir, "documents"))
+    pairs = with_likeness(with_likeness(pairs, "anchors", "edited_anchors", "near_edited"), "anchors", "next_anchors", "near_next")
+    return pairs.select(
         F.col("id").alias("doc_id"),
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint("anchors").alias("fingerprint"),
         fingerprint("edited_anchors").alias("edited_fingerprint"),
-        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
-        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        "near_edited",
+        "near_next",
     )

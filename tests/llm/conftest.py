@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, size int, score double, fp string, taken int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, size int, score double, fp string, taken int, label int, _key string, _doc long, _size int, _turn int, rep long, copy string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
 
@@ -12,10 +12,10 @@ def sentence(i: int, n: int = 40) -> str:
 def rows() -> list[tuple]:
     """Nulls in every column, empty, wordless and very long texts, ties, copies and repeated rows."""
     texts = {0: sentence(0), 1: sentence(1), 2: sentence(0), 3: None, 4: "", 5: " \t\n", 6: sentence(6, 30_000), 7: "x", 8: "Ünïcödé ▁ 日本 \U0001f600", 9: sentence(9), 10: sentence(10)}
-    out = [(i, t, "en" if i % 2 else "de", f"s{i % 3}" if i != 9 else None, len(t or ""), 5, "k", 1, 0.5, "f", 2) for i, t in texts.items()]
+    out = [(i, t, "en" if i % 2 else "de", f"s{i % 3}" if i != 9 else None, len(t or ""), 5, "k", 1, 0.5, "f", 2, 1, "u", 1, 1, 1, 1, "c") for i, t in texts.items()]
     out.append(out[1])  # a repeated row
-    out.append((None, sentence(1), None, None, None, None, None, None, None, None, None))
-    out.append((1, "another text of document one", "fr", "s0", 28, 1, "k", 1, 0.1, "f", 1))
+    out.append((None, sentence(1), *[None] * 16))
+    out.append((1, "another text of document one", "fr", "s0", 28, 1, "k", 1, 0.1, "f", 1, 0, "u", 1, 1, 1, 1, "c"))
     return out
 
 

@@ -115,7 +115,7 @@ def test_planted_spans_that_no_base_pattern_has(spark):
 
 
 def test_the_query(spark, tmp_path, odd):
-    odd.unionByName(spark.createDataFrame([(77, "card 4111 1111 1111 1111, a@b.de 1.2.3.4 +49 30 1234567890", *[None] * 9)], odd.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    odd.unionByName(spark.createDataFrame([(77, "card 4111 1111 1111 1111, a@b.de 1.2.3.4 +49 30 1234567890", *[None] * 16)], odd.schema)).write.parquet(f"{tmp_path}/documents.parquet")
     got = ps.op2_pii(spark, str(tmp_path))
     assert got.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
     assert [t for _, t in got.dtypes] == ["bigint"] * 5 + ["string"] * 2

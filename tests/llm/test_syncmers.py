@@ -46,11 +46,40 @@ def test_anchors_are_closed_syncmers_and_context_free(spark):
 def test_short_texts_have_anchors_of_their_own(spark):
     texts = [" ".join(f"t{i}w{j}" for j in range(9 + i % 9)) for i in range(180)]
     df = sy.with_anchors(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", "a")
-    got = df.select("i", sy.fingerprint("a").alias("f"), sy.likeness(F.col("a"), F.lag("a").over(Window.orderBy("i"))).alias("near")).collect()
+    df = sy.with_likeness(df.withColumn("b", F.lag("a").over(Window.orderBy("i"))), "a", "b", "near")
+    got = df.select("i", sy.fingerprint("a").alias("f"), "near").collect()
     assert all(r["f"] for r in got) and len({r["f"] for r in got}) == len(texts)
     assert {r["near"] for r in got if r["near"] is not None} == {0.0}
     pair = spark.createDataFrame([(" ".join(texts[3].split()[:6]), texts[3])], "x string, y string")
-    assert sy.with_anchors(sy.with_anchors(pair, "x", "a"), "y", "b").select(sy.likeness(F.col("a"), F.col("b"))).first()[0] > 0.5
+    assert sy.with_likeness(sy.with_anchors(sy.with_anchors(pair, "x", "a"), "y", "b"), "a", "b", "near").first()["near"] > 0.5
+
+
+def brute_likeness(a, b):
+    x, y = list(dict.fromkeys(h for _, h in a)), list(dict.fromkeys(h for _, h in b))
+    if not x and not y:
+        return 1.0
+    p, q = [h for h in x if h in y], [h for h in y if h in x]
+    follow = set(zip(q, q[1:]))
+    return 2 * (bool(p) + sum(s in follow for s in zip(p, p[1:]))) / (len(x) + len(y))
+
+
+def test_likeness_and_matches_against_loops(spark):
+    base = [f"w{i % 37}v{i % 11}" for i in range(80)]
+    texts = [" ".join(base[:n]) for n in range(31)] + [" ".join(base), " ".join(base[40:] + base[:40]), " ".join(base[:30] + ["new"] + base[30:]), " ".join(base * 2), "x y z", ""]
+    df = sy.with_anchors(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", "a")
+    pairs = df.join(df.select(F.col("i").alias("j"), F.col("a").alias("b")), F.expr("(i * 7 + j * 3) % 4 = 0"))
+    pairs = sy.with_matches(sy.with_likeness(pairs, "a", "b", "near"), "a", "b", "met")
+    for r in pairs.collect():
+        assert abs(r["near"] - brute_likeness(r["a"], r["b"])) < 1e-12
+        first = [{h: at for at, h in reversed(side)} for side in (r["a"], r["b"])]
+        assert [tuple(m) for m in r["met"]] == sorted((first[0][h], first[1][h]) for h in first[0] if h in first[1])
+    moved = pairs.where("i = 31 and j in (31, 32, 33)").select("j", "near").collect()
+    assert all(r["near"] == 1.0 if r["j"] == 31 else 0.5 < r["near"] < 1.0 for r in moved)
+
+
+def test_null_ids_alone_follow_each_other(spark):
+    got = sy.edited_pairs(spark.createDataFrame([(None, "aaaa"), (None, "bbbb")], "doc_id long, text string")).collect()
+    assert sorted(r["edited"] for r in got) == ["aabb", "bbaa"]
 
 
 def test_query_columns(spark, tmp_path):
