@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Code-point ranges that the corpus normaliser, the phonetic test and the title test keep.
 CJK_CORPUS = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}"
 CJK_PHONETIC = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{F900}-\x{FAFF}"
-CJK_TITLE = r"\x{4E00}-\x{9FFF}"
+CJK_TITLE = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}"
 #: The alphabet of Latin-script corpora.
 LATIN = r"\p{L}\p{N}"
 
@@ -18,6 +18,17 @@ def keep_only(text: Column, alphabet: str = CJK_CORPUS) -> Column:
     return F.regexp_replace(text, f"[^{alphabet}]", "")
 
 
+def has_only(text: Column, alphabet: str = CJK_PHONETIC) -> Column:
+    """Whether a text is not empty and has no character outside ``alphabet``."""
+    return text.rlike(f"^[{alphabet}]+$")
+
+
+def ends(text: Column, n: int = 200) -> Column:
+    """(opening, closing) of a text: its first and last ``n`` characters; a shorter text is both."""
+    text = F.coalesce(text, F.lit(""))
+    return F.struct(F.left(text, F.lit(n)).alias("opening"), F.right(text, F.lit(n)).alias("closing"))
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits; a text without any has none."""
     spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[^{LATIN}]+", " "))

@@ -5,20 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import CJK_TITLE, keep_only
+
 # Romanised letters with marks and their plain forms.
 MARKED = "āīūṛṝḷḹṃṁṅñṇṭḍśṣḥĀĪŪṚṜḶḸṂṀṄÑṆṬḌŚṢḤ"
 PLAIN = "aiurrllmmnnntdsshAIURRLLMMNNNTDSSH"
 HIDDEN = "­​‌‍﻿"
 
 
+#: What separates the words of a title: dashes, dots, spaces, brackets and the like; other signs are letters of it.
+SEPARATORS = r"(?U)[-–—.\s()\[\]{},;:/'\"*?!]+"
+
+
+def decoded(title: Column) -> Column:
+    """Entities of HTML as characters, by an Arrow function; for catalogue tables, which are small."""
+
+    @F.pandas_udf("string")
+    def unescaped(titles):  # noqa: ANN001, ANN202
+        import html
+
+        return titles.map(lambda t: html.unescape(t) if t and "&" in t else t)
+
+    return unescaped(title)
+
+
+def _plain(title: Column) -> Column:
+    return F.lower(F.translate(F.translate(title, HIDDEN, ""), MARKED, PLAIN))
+
+
 def normal_title(title: Column) -> Column:
-    """Hidden characters off, marks off, lower case, punctuation to single spaces."""
-    t = F.lower(F.translate(F.translate(title, HIDDEN, ""), MARKED, PLAIN))
-    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
+    """Hidden characters and marks off, lower case, all separators off: one word."""
+    return F.regexp_replace(_plain(title), SEPARATORS, "")
 
 
-def title_tokens(normal: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(normal, " "), lambda t: F.length(t) >= 2))
+def title_tokens(title: Column) -> Column:
+    """Distinct words of two or more characters of a title as it is given."""
+    return F.array_distinct(F.filter(F.split(_plain(title), SEPARATORS), lambda t: F.length(t) >= 2))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -43,12 +65,17 @@ def strip_prefixes(title: Column, prefixes: tuple[str, ...]) -> Column:
     return title
 
 
-def title_score(a: Column, b: Column, prefixes: tuple[str, ...]) -> Column:
-    """1 equal, .95 equal without prefixes, .90 one within the other, else the share of characters if high enough."""
-    x, y = strip_prefixes(a, prefixes), strip_prefixes(b, prefixes)
+def title_score(a: Column, b: Column, prefixes: tuple[str, ...], alphabet: str = CJK_TITLE) -> Column:
+    """1 equal, .95 equal without prefixes, .90 one within the other, else the share of characters if high enough.
+
+    Only characters of ``alphabet`` count; a title without any scores 0. Prefixes go before the others do.
+    """
+    own, stripped = [keep_only(x, alphabet) for x in (a, b)], [keep_only(strip_prefixes(x, prefixes), alphabet) for x in (a, b)]
+    x, y = (F.when(z != "", z).otherwise(o) for z, o in zip(stripped, own))
     short = F.least(F.length(x), F.length(y))
     share = jaccard(F.array_distinct(F.split(x, "")), F.array_distinct(F.split(y, "")))
     return (
-        F.when(a == b, F.lit(1.0)).when(x == y, F.lit(0.95)).when((short >= 2) & (x.contains(y) | y.contains(x)), F.lit(0.90))
+        F.when((own[0] == "") | (own[1] == ""), F.lit(0.0)).when(own[0] == own[1], F.lit(1.0)).when((stripped[0] != "") & (stripped[0] == stripped[1]), F.lit(0.95))
+        .when((short >= 2) & (x.contains(y) | y.contains(x)), F.lit(0.90))
         .when((short <= 3) & (share >= 0.7), share).when((short > 3) & (share >= 0.4), share).otherwise(F.lit(0.0))
     )

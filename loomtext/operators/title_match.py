@@ -13,8 +13,9 @@ from ..params import TitleParams
 
 
 def normalised(entries: DataFrame) -> DataFrame:
-    """(id, title) with ``norm``; entries whose title is nothing but punctuation are dropped."""
-    return entries.withColumn("norm", tt.normal_title(F.col("title"))).where("norm <> ''")
+    """(id, title) with ``norm``; entities are decoded, and entries whose title is nothing but punctuation are dropped."""
+    plain = entries.withColumn("title", F.when(F.col("title").contains("&"), tt.decoded(F.col("title"))).otherwise(F.col("title")))
+    return plain.withColumn("norm", tt.normal_title(F.col("title"))).where("norm <> ''")
 
 
 def exact(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -23,59 +24,88 @@ def exact(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select(F.col("norm").alias("l"), F.col("norm").alias("r"), F.lit(1.0).alias("score"), F.lit("exact").alias("kind"))
 
 
-def _prefixes(titles: DataFrame, frequency: DataFrame, least: float) -> DataFrame:
-    """Each title's rarest tokens, as many as two titles of this Jaccard share must have one in common."""
-    n = F.size("tokens")
-    order = F.row_number().over(Window.partitionBy("norm").orderBy("df", "token"))
-    each = titles.select("norm", "tokens", F.explode("tokens").alias("token")).join(frequency, "token").withColumn("_at", order)
-    return each.where(F.col("_at") <= n - F.ceil(n * F.lit(least) - 1e-9) + 1).select("norm", "tokens", "token")
+def _rarest(each: DataFrame, keep: Column, title: str, *order: str) -> DataFrame:
+    """Of (part, title, size, ...) the rarest parts of each title, as many as ``keep`` (over ``size``) says.
+
+    Two titles that are alike enough must have one of these in common, as every title orders its parts the same way.
+    """
+    at = F.row_number().over(Window.partitionBy(title).orderBy("df", "part", *order))
+    return each.withColumn("_at", at).where(F.col("_at") <= keep).drop("_at", "df")
 
 
 def shared_tokens(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """Pairs of distinct normal titles whose token sets have the Jaccard ``least`` or more."""
-    own = [side.select("norm").distinct().withColumn("tokens", tt.title_tokens(F.col("norm"))) for side in (left, right)]
-    tokens = own[0].unionByName(own[1]).select(F.explode("tokens").alias("token"))
-    frequency = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    l, r = (_prefixes(x, frequency, least) for x in own)
-    pairs = l.select(F.col("norm").alias("l"), F.col("tokens").alias("lt"), "token").join(r.select(F.col("norm").alias("r"), F.col("tokens").alias("rt"), "token"), "token")
-    scored = pairs.withColumn("score", tt.jaccard(F.col("lt"), F.col("rt"))).where(F.col("score") >= least)
-    return scored.select("l", "r", "score", F.lit("token").alias("kind")).distinct()
+    """Pairs of different normal titles whose token sets have the Jaccard ``least`` or more.
+
+    A normal title has the tokens of the first title, in code-point order, that gives it. Only names and sizes of titles
+    travel with their rarest tokens; the token sets of candidates are fetched for them.
+    """
+    own = [side.groupBy("norm").agg(F.min("title").alias("title")).select("norm", tt.title_tokens(F.col("title")).alias("tokens")) for side in (left, right)]
+    each = [side.select("norm", F.size("tokens").alias("size"), F.explode("tokens").alias("part")) for side in own]
+    frequency = each[0].unionByName(each[1]).groupBy("part").agg(F.count("*").alias("df"))
+    keep = F.col("size") - F.ceil(F.col("size") * F.lit(least) - 1e-9) + 1
+    l, r = (_rarest(x.join(frequency, "part"), keep, "norm") for x in each)
+    l, r = l.select(F.col("norm").alias("l"), F.col("size").alias("a"), "part"), r.select(F.col("norm").alias("r"), F.col("size").alias("b"), "part")
+    pairs = l.join(r, "part").where((F.col("l") != F.col("r")) & (F.least("a", "b") >= F.greatest("a", "b") * least - 1e-9)).select("l", "r").distinct()
+    full = pairs.join(own[0].toDF("l", "lt"), "l").join(own[1].toDF("r", "rt"), "r")
+    return full.withColumn("score", tt.jaccard(F.col("lt"), F.col("rt"))).where(F.col("score") >= least).select("l", "r", "score", F.lit("token").alias("kind"))
+
+
+def gram_length(ratio: float, least_length: int) -> int:
+    """The longest of 3, 2 and 1 of which some gram is sure to outlive the edits that titles of any length may have."""
+    slack = (1 - ratio) / ratio
+    return next(q for q in (3, 2, 1) if q == 1 or all(n - q + 1 > q * math.floor(n * slack + 1e-9) for n in range(least_length, 4000)) and q * slack < 1)
 
 
-def few_edits(left: DataFrame, right: DataFrame, ratio: float, least_length: int) -> DataFrame:
-    """Pairs of distinct normal titles of a Levenshtein ratio of ``ratio`` or more.
+def few_edits(left: DataFrame, right: DataFrame, ratio: float, least_length: int, known: DataFrame | None = None) -> DataFrame:
+    """Pairs of different normal titles of a Levenshtein ratio of ``ratio`` or more, without those of ``known`` (l, r).
 
-    A title that allows d edits is cut into d + 1 pieces; one of them must stand in the other title, at most d places
-    off. So pairs come from an equi-join on (length, piece, text) and are then verified.
+    One edit changes at most q of a title's q-grams, so of a title that allows d edits the q * d + 1 rarest grams have
+    one that the other title's rarest have too, at most d places off. Such pairs are then verified.
     """
-    slack = (1 - ratio) / ratio
-    a = F.col("a")
-    edits = F.floor(a * F.lit(slack) + 1e-9).cast("int")
-    cut = lambda i: F.floor(a * i / (F.col("d") + 1)).cast("int")
-    l = left.select(F.col("norm").alias("l")).distinct().withColumn("a", F.length("l")).where(a >= least_length).withColumn("d", edits)
-    l = l.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
-    l = l.withColumn("piece", F.expr("substring(l, cast(floor(a * i / (d + 1)) as int) + 1, cast(floor(a * (i + 1) / (d + 1)) as int) - cast(floor(a * i / (d + 1)) as int))"))
-    r = right.select(F.col("norm").alias("r")).distinct().withColumn("b", F.length("r")).where(F.col("b") >= least_length)
-    r = r.withColumn("a", F.explode(F.sequence(F.ceil(F.col("b") * ratio - 1e-9).cast("int"), F.floor(F.col("b") / ratio + 1e-9).cast("int")))).withColumn("d", edits)
-    r = r.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d")))).withColumn("from", cut(F.col("i"))).withColumn("n", cut(F.col("i") + 1) - F.col("from"))
-    r = r.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("from") - F.col("d")), F.greatest(F.lit(0), F.col("from") + F.col("d")))))
-    r = r.withColumn("piece", F.expr("substring(r, at + 1, n)")).where(F.length("piece") == F.col("n"))
-    pairs = l.select("l", "a", "i", "piece").join(r.select("r", "a", "i", "piece").distinct(), ["a", "i", "piece"]).select("l", "r").distinct()
-    d = F.expr(f"levenshtein(l, r, {math.ceil(100)})")
-    bound = tt.most_edits(F.col("l"), F.col("r"), ratio)
-    scored = pairs.withColumn("_d", d).where((F.col("_d") >= 0) & (F.col("_d") <= bound)).withColumn("score", 1 - F.col("_d") / F.greatest(F.length("l"), F.length("r")))
+    q, slack = gram_length(ratio, least_length), (1 - ratio) / ratio
+    own = [side.select(F.xxhash64("norm").alias("key"), "norm", F.length("norm").alias("size")).distinct().where(F.col("size") >= least_length) for side in (left, right)]
+    places = F.sequence(F.lit(1), F.col("size") - q + 1)
+    each = [x.where(F.col("size") >= q).select("key", "norm", "size", F.explode(places).alias("at")).withColumn("part", F.substring(F.col("norm"), F.col("at"), F.lit(q))).drop("norm") for x in own]
+    frequency = each[0].unionByName(each[1]).groupBy("part").agg(F.count("*").alias("df"))
+    l, r = (_rarest(x.join(frequency, "part"), q * F.floor(F.col("size") * F.lit(slack) + 1e-9) + 1, "key", "at") for x in each)
+    l, r = l.toDF("part", "lk", "a", "i"), r.toDF("part", "rk", "b", "j")
+    bound = (F.greatest("a", "b") * F.lit(1 - ratio)).cast("int")
+    met = l.join(r, "part").where((F.abs(F.col("a") - F.col("b")) <= bound) & (F.abs(F.col("i") - F.col("j")) <= bound))
+    # titles travel as hashed keys; the titles themselves are fetched for the candidates and decide
+    pairs = met.select("lk", "rk").distinct().join(own[0].select(F.col("key").alias("lk"), F.col("norm").alias("l")), "lk").join(own[1].select(F.col("key").alias("rk"), F.col("norm").alias("r")), "rk")
+    pairs = pairs.select("l", "r").where("l <> r")
+    pairs = pairs if known is None else pairs.join(known.select("l", "r"), ["l", "r"], "left_anti")
+    scored = pairs.withColumn("_most", tt.most_edits(F.col("l"), F.col("r"), ratio)).withColumn("_d", F.expr("levenshtein(l, r, _most)")).where("_d >= 0")
+    scored = scored.withColumn("score", 1 - F.col("_d") / F.greatest(F.length("l"), F.length("r")))
     return scored.where(F.col("score") >= ratio).select("l", "r", "score", F.lit("fuzzy").alias("kind"))
 
 
 def match(left: DataFrame, right: DataFrame, p: TitleParams) -> DataFrame:
-    """(left_id, right_id, kind, score): the first pass that finds a pair of titles names it, whatever later ones score;
-    of an entry pair's several titles an equal one wins, then the best score."""
-    rank = F.when(F.col("kind") == "exact", 0).when(F.col("kind") == "token", 1).otherwise(2)
-    found = exact(left, right).unionByName(shared_tokens(left, right, p.token_jaccard)).unionByName(few_edits(left, right, p.fuzzy_ratio, p.fuzzy_least_length))
-    titled = found.groupBy("l", "r").agg(F.min_by(F.struct("kind", "score"), rank).alias("m")).select("l", "r", "m.kind", "m.score")
-    entries = titled.join(left.select(F.col("id").alias("left_id"), F.col("norm").alias("l")), "l").join(right.select(F.col("id").alias("right_id"), F.col("norm").alias("r")), "r")
-    best = F.min_by(F.struct("kind", "score"), F.struct((F.col("kind") != "exact").alias("weak"), -F.col("score"), rank)).alias("m")
-    return entries.groupBy("left_id", "right_id").agg(best).select("left_id", "right_id", "m.kind", "m.score")
+    """(left_id, right_id, kind, score): the first pass that finds a pair of titles names it, whatever later ones score.
+
+    Entries may have several titles: an entry pair is listed once for each kind, with its best score, and an equal
+    title hides the weaker kinds.
+    """
+    equal = exact(left, right)
+    shared = shared_tokens(left, right, p.token_jaccard)
+    found = equal.unionByName(shared).unionByName(few_edits(left, right, p.fuzzy_ratio, p.fuzzy_least_length, shared))
+    entries = found.join(left.select(F.col("id").alias("left_id"), F.col("norm").alias("l")), "l").join(right.select(F.col("id").alias("right_id"), F.col("norm").alias("r")), "r")
+    best = entries.groupBy("left_id", "right_id", "kind").agg(F.max("score").alias("score"))
+    has_equal = F.max((F.col("kind") == "exact").cast("int")).over(Window.partitionBy("left_id", "right_id"))
+    return best.withColumn("_equal", has_equal).where("_equal = 0 or kind = 'exact'").drop("_equal")
+
+
+def validated(matches: DataFrame, concordance: DataFrame) -> DataFrame:
+    """Adds ``status`` to (text_id, toh, volume, kind): filtered, new, validated or contradicted by (text_id, toh) known so far.
+
+    Negative numbers are rows of a catalogue without one and are left out; a section mismatch is filtered before the
+    concordance is asked; ``known_toh`` lists what contradicts.
+    """
+    known = concordance.groupBy("text_id").agg(F.array_sort(F.collect_set("toh")).alias("known_toh"))
+    joined = matches.where("toh >= 0").join(known, "text_id", "left")
+    mismatch = (F.col("toh") > 0) & section_mismatch(F.col("volume"), F.col("toh"), F.col("kind"))
+    status = F.when(mismatch, "filtered").when(F.col("known_toh").isNull(), "new").when(F.array_contains("known_toh", F.col("toh")), "validated").otherwise("contradicted")
+    return joined.withColumn("status", status).withColumn("known_toh", F.when(F.col("status") == "contradicted", F.col("known_toh")))
 
 
 def section_mismatch(volume: Column, toh: Column, kind: Column) -> Column:

@@ -12,15 +12,18 @@ from .registry import query, table
 
 P = TitleParams()
 
-NORM = r"trim(regexp_replace(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^\p{L}\p{N}]+', ' ', 'g'))"
+SEPARATORS = r"""[-–—.\s()\[\]{},;:/'"*?!]+"""
+_SQL_SEPARATORS = SEPARATORS.replace("'", "''")
+TITLE = "p_name || ' ' || p_type || ' ' || p_brand"
 SIDES = f"""
-t AS (SELECT p_partkey AS id, {NORM} AS norm FROM part), lt AS (SELECT * FROM t WHERE id % 2 = 0), rt AS (SELECT * FROM t WHERE id % 2 = 1),
-ln AS (SELECT DISTINCT norm AS l, list_distinct(list_filter(string_split(norm, ' '), lambda x: length(x) >= 2)) AS lk FROM lt),
-rn AS (SELECT DISTINCT norm AS r, list_distinct(list_filter(string_split(norm, ' '), lambda x: length(x) >= 2)) AS rk FROM rt),
+t AS (SELECT p_partkey AS id, {TITLE} AS title, regexp_replace(lower({TITLE}), '{_SQL_SEPARATORS}', '', 'g') AS norm FROM part),
+lt AS (SELECT * FROM t WHERE id % 2 = 0), rt AS (SELECT * FROM t WHERE id % 2 = 1),
+ln AS (SELECT norm AS l, list_distinct(list_filter(regexp_split_to_array(lower(min(title)), '{_SQL_SEPARATORS}'), lambda x: length(x) >= 2)) AS lk FROM lt GROUP BY norm),
+rn AS (SELECT norm AS r, list_distinct(list_filter(regexp_split_to_array(lower(min(title)), '{_SQL_SEPARATORS}'), lambda x: length(x) >= 2)) AS rk FROM rt GROUP BY norm),
 ex AS (SELECT l, r, 1.0::DOUBLE AS score FROM ln JOIN rn ON l = r),
-ja AS (SELECT l, r, len(list_intersect(lk, rk)) / (len(lk) + len(rk) - len(list_intersect(lk, rk))) AS score FROM ln, rn WHERE list_has_any(lk, rk)),
+ja AS (SELECT l, r, len(list_intersect(lk, rk)) / (len(lk) + len(rk) - len(list_intersect(lk, rk))) AS score FROM ln JOIN rn ON l <> r AND list_has_any(lk, rk)),
 tok AS (SELECT * FROM ja WHERE score >= {P.token_jaccard}),
-lev AS (SELECT l, r, levenshtein(l, r) AS d, greatest(length(l), length(r)) AS m FROM ln, rn WHERE abs(length(l) - length(r)) <= 0.12 * greatest(length(l), length(r)) AND least(length(l), length(r)) >= {P.fuzzy_least_length}),
+lev AS (SELECT l, r, levenshtein(l, r) AS d, greatest(length(l), length(r)) AS m FROM ln JOIN rn ON l <> r AND abs(length(l) - length(r)) <= 0.12 * greatest(length(l), length(r)) AND least(length(l), length(r)) >= {P.fuzzy_least_length}),
 fuz AS (SELECT l, r, 1 - d / m AS score FROM lev WHERE d <= CAST(floor(m * (1 - {P.fuzzy_ratio}::DOUBLE)) AS INT) AND 1 - d / m >= {P.fuzzy_ratio})
 """
 
@@ -47,14 +50,24 @@ def title_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return title_match.few_edits(*sides(spark, sf_dir), P.fuzzy_ratio, P.fuzzy_least_length).select("l", "r", F.round("score", 9).alias("score"))
 
 
-@query(f"""WITH {SIDES}, a AS (SELECT l, r, score, 0 AS rank FROM ex UNION ALL SELECT l, r, score, 1 FROM tok UNION ALL SELECT l, r, score, 2 FROM fuz),
-one AS (SELECT l, r, min(rank) AS rank, arg_min(score, rank) AS score FROM a GROUP BY l, r)
-SELECT lt.id AS left_id, rt.id AS right_id, CASE rank WHEN 0 THEN 'exact' WHEN 1 THEN 'token' ELSE 'fuzzy' END AS kind, round(score, 9) AS score
-FROM one JOIN lt ON lt.norm = l JOIN rt ON rt.norm = r""")
+@query(f"""WITH {SIDES}, a AS (SELECT l, r, score, 'exact' AS kind FROM ex UNION ALL SELECT l, r, score, 'token' FROM tok
+    UNION ALL SELECT l, r, score, 'fuzzy' FROM fuz ANTI JOIN tok USING (l, r)),
+e AS (SELECT lt.id AS left_id, rt.id AS right_id, kind, max(score) AS score FROM a JOIN lt ON lt.norm = l JOIN rt ON rt.norm = r GROUP BY ALL)
+SELECT left_id, right_id, kind, round(score, 9) AS score FROM e WHERE kind = 'exact' OR (left_id, right_id) NOT IN (SELECT (left_id, right_id) FROM e WHERE kind = 'exact')""")
 def title_match_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return title_match.match(*sides(spark, sf_dir), P).select("left_id", "right_id", "kind", F.round("score", 9).alias("score"))
 
 
+@query("""WITH m AS (SELECT o_orderkey AS k, o_custkey AS text, o_custkey % 55 + 1 AS vol, o_orderkey % 2000 - 50 AS toh, CASE WHEN o_orderstatus = 'F' THEN 'exact' ELSE 'fuzzy' END AS kind FROM orders),
+known AS (SELECT o_custkey AS text, list(DISTINCT o_orderkey % 2000 - 50) AS tohs FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey)
+SELECT k, CASE WHEN toh > 0 AND kind <> 'exact' AND ((vol BETWEEN 1 AND 21 AND toh >= 1109) OR (vol BETWEEN 25 AND 32 AND toh <= 1108)) THEN 'filtered'
+WHEN tohs IS NULL THEN 'new' WHEN list_contains(tohs, toh) THEN 'validated' ELSE 'contradicted' END AS status FROM m LEFT JOIN known USING (text) WHERE toh >= 0""")
+def match_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = matches(spark, sf_dir).withColumnsRenamed({"text": "text_id", "vol": "volume"})
+    known = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("text_id"), (F.col("o_orderkey") % 2000 - 50).alias("toh"))
+    return title_match.validated(m, known).select("k", "status")
+
+
 MATCHES = "m AS (SELECT o_orderkey AS k, o_custkey AS text, o_custkey % 55 + 1 AS vol, o_orderkey % 2000 - 50 AS toh, CASE WHEN o_orderstatus = 'F' THEN 'exact' ELSE 'fuzzy' END AS kind FROM orders)"
 
 
@@ -75,7 +88,7 @@ def section_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(spark, sf_dir).where("toh > 0").select("k", title_match.demoted(F.col("vol"), F.col("toh"), "text").alias("demoted"))
 
 
-@query("""WITH p AS (SELECT c_custkey, s_suppkey, c_name AS a, s_name AS b, CASE WHEN starts_with(c_name, 'Customer#') THEN substr(c_name, 10) ELSE c_name END AS x, CASE WHEN starts_with(s_name, 'Supplier#') THEN substr(s_name, 10) ELSE s_name END AS y
+@query("""WITH p AS (SELECT c_custkey, s_suppkey, regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g') AS a, regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g') AS b, CASE WHEN starts_with(c_name, 'Customer#') THEN substr(c_name, 10) ELSE c_name END AS x, CASE WHEN starts_with(s_name, 'Supplier#') THEN substr(s_name, 10) ELSE s_name END AS y
 FROM customer JOIN supplier ON c_nationkey = s_nationkey),
 q AS (SELECT *, list_distinct(string_split(x, '')) AS xs, list_distinct(string_split(y, '')) AS ys FROM p),
 s AS (SELECT *, len(list_intersect(xs, ys)) / (len(xs) + len(ys) - len(list_intersect(xs, ys))) AS share, least(length(x), length(y)) AS short FROM q)
@@ -84,7 +97,7 @@ WHEN short <= 3 AND share >= 0.7 THEN share WHEN short > 3 AND share >= 0.4 THEN
 def cjk_title_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
     pairs = c.join(s, F.col("c_nationkey") == F.col("s_nationkey"))
-    return pairs.select("c_custkey", "s_suppkey", F.round(tt.title_score(F.col("c_name"), F.col("s_name"), ("Customer#", "Supplier#")), 9).alias("score"))
+    return pairs.select("c_custkey", "s_suppkey", F.round(tt.title_score(F.col("c_name"), F.col("s_name"), ("Customer#", "Supplier#"), "A-Za-z0-9"), 9).alias("score"))
 
 
 @query("""WITH e AS (SELECT p_partkey, string_split(lower(p_name), ' ')[1] AS a, string_split(lower(p_name), ' ')[2] AS b FROM part),
@@ -111,13 +124,15 @@ def id_resolution_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concordance.resolve_all(n, s)
 
 
-@query("""WITH a AS (SELECT p_partkey AS id, p_name AS t, p_brand AS brand, p_size AS size FROM part WHERE p_partkey % 5 = 0),
-b AS (SELECT p_partkey AS ref, p_name AS t, p_brand AS brand, p_size AS size FROM part WHERE p_partkey % 5 = 1),
+@query("""WITH a AS (SELECT p_partkey AS id, p_name AS t, p_brand AS brand, p_size AS size, p_type AS type FROM part WHERE p_size <= 25),
+b AS (SELECT p_partkey AS ref, p_name AS t, p_brand AS brand, p_size - 25 AS size, p_type AS type FROM part WHERE p_size > 25),
 m1 AS (SELECT id, min(ref) AS ref, 'title' AS method FROM a JOIN b ON a.t = b.t AND a.brand = b.brand AND a.size = b.size GROUP BY id),
 m2 AS (SELECT id, min(ref) AS ref, 'title_brand' AS method FROM a JOIN b ON a.t = b.t AND a.brand = b.brand WHERE id NOT IN (SELECT id FROM m1) GROUP BY id),
-m3 AS (SELECT id, min(ref) AS ref, 'size' AS method FROM a JOIN b ON a.brand = b.brand AND a.size = b.size WHERE id NOT IN (SELECT id FROM m1 UNION ALL SELECT id FROM m2) GROUP BY id)
+m3 AS (SELECT id, min(ref) AS ref, 'size' AS method FROM a JOIN b ON a.brand = b.brand AND a.size = b.size AND a.type = b.type WHERE id NOT IN (SELECT id FROM m1 UNION ALL SELECT id FROM m2) GROUP BY id)
 SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3""")
 def waterfall_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("t"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
-    left, right = p.where("p_partkey % 5 = 0").withColumnRenamed("p_partkey", "id"), p.where("p_partkey % 5 = 1").withColumnRenamed("p_partkey", "ref")
-    return concordance.waterfall(left, right, [("title", ["t", "brand", "size"]), ("title_brand", ["t", "brand"]), ("size", ["brand", "size"])])
+    """Small parts against large ones, by ever weaker keys; each step sees what no earlier one matched."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("t"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.col("p_type").alias("type"))
+    left = p.where("size <= 25").withColumnRenamed("p_partkey", "id")
+    right = p.where("size > 25").withColumn("size", F.col("size") - 25).withColumnRenamed("p_partkey", "ref")
+    return concordance.waterfall(left, right, [("title", ["t", "brand", "size"]), ("title_brand", ["t", "brand"]), ("size", ["brand", "size", "type"])])

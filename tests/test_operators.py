@@ -76,12 +76,16 @@ def test_confidence_and_coverage(spark):
 
 
 def test_title_functions(spark):
-    assert value(spark, tt.normal_title(F.lit("Prajñā­pāramitā-Hṛdaya!"))) == "prajnaparamita hrdaya"
+    assert value(spark, tt.normal_title(F.lit("Prajñā­pāramitā-Hṛdaya!"))) == "prajnaparamitahrdaya"
+    assert value(spark, tt.normal_title(F.lit("Vajra-cchedikā"))) == value(spark, tt.normal_title(F.lit("Vajracchedikā")))
+    assert value(spark, tt.title_tokens(F.lit("Vajra-cchedikā nāma a sūtra"))) == ["vajra", "cchedika", "nama", "sutra"]
+    assert value(spark, tt.decoded(F.lit("Vajracchedik&#257;praj&ntilde;&#257;"))) == "Vajracchedikāprajñā"
     assert value(spark, tt.levenshtein_ratio(F.lit(""), F.lit(""))) == 1.0
     assert value(spark, tt.most_edits(F.lit("x" * 20), F.lit("y"), 0.9)) == int(20 * (1 - 0.9))
     p = ("佛說", "大")
     score = lambda a, b: value(spark, tt.title_score(F.lit(a), F.lit(b), p))
     assert score("心經", "心經") == 1.0 and score("佛說心經", "心經") == 0.95 and score("般若心經", "心經") == 0.9
+    assert score("", "") == 0.0 and score("abc", "abc") == 0.0 and score("心經 a", "心-經") == 1.0
     assert score("佛說大", "甲乙丙") == 0.0 and math.isclose(score("甲乙丙丁", "甲乙丁戊"), 3 / 5)
 
 
@@ -92,6 +96,37 @@ def test_title_passes_and_precedence(spark):
     assert got == {("a", 1): "exact", ("b", 2): "token", ("c", 3): "fuzzy"}
 
 
+def test_fuzzy_titles_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdeinstr") for _ in range(n)) for n in (5, 9, 10, 11, 20, 40, 80, 200, 1300)]
+
+    def edited(t, k):
+        t = list(t)
+        for _ in range(k):
+            i = rng.randrange(len(t))
+            t[i : i + 1] = rng.choice(([], ["x"], [t[i], "y"]))
+        return "".join(t)
+
+    titles = [edited(t, k) for t in base for k in {0, 1, 2, len(t) // 12, len(t) // 9}]
+    make = lambda rows: title_match.normalised(spark.createDataFrame(list(enumerate(rows)), "id int, title string"))
+    distance = lambda a, b: spark.createDataFrame([(a, b)], "a string, b string").select(F.levenshtein("a", "b")).first()[0]
+    pairs = spark.createDataFrame([(a, b) for a in set(base) for b in set(titles) if a != b and len(a) >= 5 and len(b) >= 5], "l string, r string").withColumn("d", F.levenshtein("l", "r"))
+    for ratio in (0.9, 0.8):
+        want = {(r["l"], r["r"]) for r in pairs.collect() if r["d"] <= int(max(len(r["l"]), len(r["r"])) * (1 - ratio)) and 1 - r["d"] / max(len(r["l"]), len(r["r"])) >= ratio}
+        got = {(r["l"], r["r"]) for r in title_match.few_edits(make(base), make(titles), ratio, 5).collect()}
+        assert got == want and any(len(a) > 1000 for a, _ in got)
+    assert distance("kitten", "sitting") == 3
+
+
+def test_entry_pairs_are_listed_by_kind(spark):
+    left = title_match.normalised(spark.createDataFrame([("a", "diamond cutter discourse"), ("a", "discourse of diamond cutter"), ("b", "Vajra-cchedik&#257;")], "id string, title string"))
+    right = title_match.normalised(spark.createDataFrame([(1, "diamond cuter discourse"), (1, "cutter discourse diamond"), (2, "Vajracchedikā"), (2, "vajra cchedika nama")], "id int, title string"))
+    got = sorted((r["left_id"], r["right_id"], r["kind"]) for r in title_match.match(left, right, TitleParams()).collect())
+    assert got == [("a", 1, "fuzzy"), ("a", 1, "token"), ("b", 2, "exact")]
+
+
 def test_sections(spark):
     df = spark.createDataFrame([(1, 2000, "fuzzy"), (1, 2000, "exact"), (30, 5, "token"), (30, 1109, "token")], "v int, t int, k string")
     assert [r[0] for r in df.select(title_match.section_mismatch(F.col("v"), F.col("t"), F.col("k"))).collect()] == [True, False, True, False]
