@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import concordance, exports, reuse, scoring, titles  # noqa: F401  they register their queries
+from .plans import catalogues, concordance, exports, reuse, scoring, titles  # noqa: F401  they register their queries
 from .plans.registry import ORACLES, QUERIES, Query
 
 

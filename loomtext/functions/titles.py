@@ -71,11 +71,14 @@ def title_score(a: Column, b: Column, prefixes: tuple[str, ...], alphabet: str =
     Only characters of ``alphabet`` count; a title without any scores 0. Prefixes go before the others do.
     """
     own, stripped = [keep_only(x, alphabet) for x in (a, b)], [keep_only(strip_prefixes(x, prefixes), alphabet) for x in (a, b)]
-    x, y = (F.when(z != "", z).otherwise(o) for z, o in zip(stripped, own))
-    short = F.least(F.length(x), F.length(y))
-    share = jaccard(F.array_distinct(F.split(x, "")), F.array_distinct(F.split(y, "")))
-    return (
-        F.when((own[0] == "") | (own[1] == ""), F.lit(0.0)).when(own[0] == own[1], F.lit(1.0)).when((stripped[0] != "") & (stripped[0] == stripped[1]), F.lit(0.95))
-        .when((short >= 2) & (x.contains(y) | y.contains(x)), F.lit(0.90))
-        .when((short <= 3) & (share >= 0.7), share).when((short > 3) & (share >= 0.4), share).otherwise(F.lit(0.0))
-    )
+    once = lambda value, f: F.get(F.transform(F.array(value), f), 0)  # noqa: E731  a name for a value that is used often
+    first = once(F.struct(own[0].alias("a"), own[1].alias("b"), stripped[0].alias("x"), stripped[1].alias("y")), lambda t: F.struct(
+        t["a"].alias("a"), t["b"].alias("b"), ((t["x"] != "") & (t["x"] == t["y"])).alias("same"),
+        F.when(t["x"] != "", t["x"]).otherwise(t["a"]).alias("x"), F.when(t["y"] != "", t["y"]).otherwise(t["b"]).alias("y"),
+    ))
+    second = once(first, lambda t: F.struct(t.alias("t"), F.least(F.length(t["x"]), F.length(t["y"])).alias("short"), jaccard(F.array_distinct(F.split(t["x"], "")), F.array_distinct(F.split(t["y"], ""))).alias("share")))
+    return once(second, lambda u: (
+        F.when((u["t"]["a"] == "") | (u["t"]["b"] == ""), F.lit(0.0)).when(u["t"]["a"] == u["t"]["b"], F.lit(1.0)).when(u["t"]["same"], F.lit(0.95))
+        .when((u["short"] >= 2) & (u["t"]["x"].contains(u["t"]["y"]) | u["t"]["y"].contains(u["t"]["x"])), F.lit(0.90))
+        .when((u["short"] <= 3) & (u["share"] >= 0.7), u["share"]).when((u["short"] > 3) & (u["share"] >= 0.4), u["share"]).otherwise(F.lit(0.0))
+    ))

@@ -45,6 +45,41 @@ def confidence(coverage: Column, longest: Column, digest_length: Column, ratio:
     return total
 
 
+def segment_statistics(segments: DataFrame, region_gap: int) -> DataFrame:
+    """Of each pair's segments: digest length and covered length, averages, the longest, phonetic share, source regions.
+
+    ``segments``: those of :func:`alignment.align_pairs`. A pair of which nothing matches has averages and shares of 0.
+    """
+    pair = ["digest_id", "source_id"]
+    n = F.col("digest_end") - F.col("digest_start")
+    matched, phonetic = F.col("match_type") != "novel", F.col("match_type") == "phonetic"
+    own = segments.groupBy(*pair).agg(
+        F.max("digest_end").alias("digest_length"), F.sum(F.when(matched, n).otherwise(0)).alias("matched"), F.coalesce(F.avg(F.when(matched, n)), F.lit(0.0)).alias("avg_segment_length"),
+        F.coalesce(F.max(F.when(matched, n)), F.lit(0)).alias("longest_segment"), F.sum(F.when(phonetic, n).otherwise(0)).alias("phonetic"), F.count_if(phonetic).alias("n_phonetic"), F.count_if(matched).alias("n_matched"),
+    )
+    some = segments.where(matched)
+    spanned = intervals.merged_length(some, pair, "source_start", "source_end", "source_span")
+    regions = intervals.regions(some, pair, "source_start", "source_end", region_gap, "num_source_regions")
+    out = own.join(spanned, pair, "left").join(regions, pair, "left").fillna({"source_span": 0, "num_source_regions": 0})
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+    return out.withColumns({"coverage": share("matched", "digest_length"), "phonetic_fraction": share("phonetic", "matched")}).withColumn("novel_fraction", 1 - F.col("coverage"))
+
+
+def score_pairs(statistics: DataFrame, texts: DataFrame, crossrefs: DataFrame, p: ScoreParams) -> DataFrame:
+    """Classified and weighed relations of aligned pairs whose two texts are known, those without one left out.
+
+    ``statistics``: rows of :func:`segment_statistics`; ``texts``: (id, length) of main texts; ``crossrefs``: (digest_id,
+    source_id) of cross references.
+    """
+    d, s = texts.toDF("digest_id", "d_len"), texts.toDF("source_id", "s_len")
+    marked = crossrefs.select("digest_id", "source_id").distinct().withColumn("crossref", F.lit(True))
+    f = statistics.join(d, "digest_id").join(s, "source_id").join(marked, ["digest_id", "source_id"], "left").withColumn("crossref", F.coalesce("crossref", F.lit(False)))
+    f = f.withColumn("effective", effective_coverage(F.col("coverage"), F.col("phonetic_fraction"), p)).withColumn("size_ratio", size_ratio(F.col("d_len"), F.col("s_len")))
+    conf = confidence(F.col("effective"), F.col("longest_segment"), F.col("d_len"), F.col("size_ratio"), F.col("num_source_regions"), F.col("crossref"), F.col("avg_segment_length"), p)
+    f = f.withColumn("classification", classify(F.col("effective"), F.col("size_ratio"), F.col("avg_segment_length"), p)).withColumn("confidence", F.bround(conf, 4))
+    return f.where("classification <> 'no_relationship'")
+
+
 def multi_source(segments: DataFrame, lengths: DataFrame, least: float, p: ScoreParams) -> DataFrame:
     """Digests whose sources together cover clearly more than the best alone.
 
@@ -69,6 +104,14 @@ def source_clusters(scores: DataFrame, least: int = 2) -> DataFrame:
     return out.where(F.col("n") >= least)
 
 
+def not_of_each_other(pairs: DataFrame, scores: DataFrame) -> DataFrame:
+    """Expected strangers (digest_id, source_id): FAIL where either is scored as an excerpt or a digest of the other."""
+    own = scores.where(F.col("classification").isin("excerpt", "digest")).select("digest_id", "source_id", F.lit(True).alias("_hit"))
+    there = pairs.join(own, ["digest_id", "source_id"], "left").withColumnRenamed("_hit", "_there")
+    back = there.join(own.toDF("source_id", "digest_id", "_back"), ["digest_id", "source_id"], "left")
+    return back.select("digest_id", "source_id", F.when(F.coalesce("_there", "_back").isNull(), "PASS").otherwise("FAIL").alias("status")).distinct()
+
+
 def ground_truth(expected: DataFrame, scores: DataFrame) -> DataFrame:
     """Expected pairs (digest_id, source_id, expected_class, least_coverage) and whether the scores agree."""
     found = expected.join(scores.select("digest_id", "source_id", "classification", "effective"), ["digest_id", "source_id"], "left")
