@@ -235,12 +235,19 @@ def align(digest: Sequence[str], source: Sequence[str], p: ReuseParams, places:
 _SEGMENT = "digest_id long, source_id long, segment int, digest_start long, digest_end long, source_start long, source_end long, match_type string"
 
 
-def align_pairs(pairs: DataFrame, digests: DataFrame, sources: DataFrame, p: ReuseParams, tokens: Callable[[Column], Column] = words, table: dict[str, frozenset[str]] | None = None, salt: int = 64) -> DataFrame:
-    """Segments of every pair. Pairs of one source share its index; a much-used source is split over ``salt`` groups."""
+def align_pairs(pairs: DataFrame, digests: DataFrame, sources: DataFrame, p: ReuseParams, tokens: Callable[[Column], Column] = words, table: dict[str, frozenset[str]] | None = None, together: int = 64) -> DataFrame:
+    """Segments of every pair. Pairs of one source share its index; those of a much-used source are dealt by ``together``.
+
+    ``pairs``: (digest_id, source_id); those flagged ``from_phonetic``, if there is such a column, were found by sound
+    already and are not looked through for it again. Pairs with an unknown text are left out.
+    """
     d = digests.select(F.col("id").alias("digest_id"), tokens(F.col("text")).alias("d"))
     s = sources.select(F.col("id").alias("source_id"), tokens(F.col("text")).alias("s"))
+    known = F.col("from_phonetic") if "from_phonetic" in pairs.columns else F.lit(False)
+    own = pairs.groupBy("digest_id", "source_id").agg(F.max(known).alias("known"))
+    groups = own.groupBy("source_id").agg(F.ceil(F.count("*") / together).cast("int").alias("groups"))
     # the source's tokens go once to each group, not once to each pair
-    keyed = pairs.select("digest_id", "source_id").distinct().join(d, "digest_id").withColumn("part", F.pmod(F.xxhash64("digest_id"), F.lit(salt)).cast("int"))
+    keyed = own.join(groups, "source_id").join(d, "digest_id").withColumn("part", F.pmod(F.xxhash64("digest_id"), F.col("groups")).cast("int")).drop("groups")
     needed = keyed.select("source_id", "part").distinct().join(s, "source_id").select(F.col("source_id").alias("owner"), F.col("part").alias("share"), "s")
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -248,8 +255,8 @@ def align_pairs(pairs: DataFrame, digests: DataFrame, sources: DataFrame, p: Reu
         if len(right) and len(left):
             source = list(right["s"].iloc[0])
             places = index_kgrams(source, p.seed_length)
-            for digest_id, source_id, digest in zip(left["digest_id"], left["source_id"], left["d"]):
-                for i, x in enumerate(align(list(digest), source, p, places, table)):
+            for digest_id, source_id, digest, known in zip(left["digest_id"], left["source_id"], left["d"], left["known"]):
+                for i, x in enumerate(align(list(digest), source, p, places, None if known else table)):
                     rows.append((digest_id, source_id, i, *x))
         return pd.DataFrame(rows, columns=["digest_id", "source_id", "segment", "digest_start", "digest_end", "source_start", "source_end", "match_type"])
 

@@ -65,13 +65,13 @@ def segment_statistics(segments: DataFrame, region_gap: int) -> DataFrame:
     return out.withColumns({"coverage": share("matched", "digest_length"), "phonetic_fraction": share("phonetic", "matched")}).withColumn("novel_fraction", 1 - F.col("coverage"))
 
 
-def score_pairs(statistics: DataFrame, texts: DataFrame, crossrefs: DataFrame, p: ScoreParams) -> DataFrame:
+def score_pairs(statistics: DataFrame, digests: DataFrame, sources: DataFrame, crossrefs: DataFrame, p: ScoreParams) -> DataFrame:
     """Classified and weighed relations of aligned pairs whose two texts are known, those without one left out.
 
-    ``statistics``: rows of :func:`segment_statistics`; ``texts``: (id, length) of main texts; ``crossrefs``: (digest_id,
-    source_id) of cross references.
+    ``statistics``: rows of :func:`segment_statistics`; ``digests`` and ``sources``: (id, length) of main texts;
+    ``crossrefs``: (digest_id, source_id) of cross references.
     """
-    d, s = texts.toDF("digest_id", "d_len"), texts.toDF("source_id", "s_len")
+    d, s = digests.toDF("digest_id", "d_len"), sources.toDF("source_id", "s_len")
     marked = crossrefs.select("digest_id", "source_id").distinct().withColumn("crossref", F.lit(True))
     f = statistics.join(d, "digest_id").join(s, "source_id").join(marked, ["digest_id", "source_id"], "left").withColumn("crossref", F.coalesce("crossref", F.lit(False)))
     f = f.withColumn("effective", effective_coverage(F.col("coverage"), F.col("phonetic_fraction"), p)).withColumn("size_ratio", size_ratio(F.col("d_len"), F.col("s_len")))

@@ -18,7 +18,7 @@ att AS (SELECT l_orderkey % 3000 AS text_id, l_partkey % 15 AS ref_id, ({_ARRAY}
     CASE WHEN l_suppkey % 8 IN (1, 2, 4, 6) THEN CAST(l_discount * 10 AS DOUBLE) END AS confidence, CASE WHEN l_linenumber % 3 = 0 THEN NULL WHEN l_linenumber % 3 = 1 THEN 'line ' || l_linenumber ELSE 'n' || l_linenumber END AS note,
     lpad(CAST(l_linenumber AS VARCHAR), 3, '0') || '-' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') || '-' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') || '-' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0') AS seq FROM lineitem),
 merged AS (SELECT text_id, ref_id, source, max(confidence) AS confidence, arg_min(note, seq) FILTER (WHERE note IS NOT NULL) AS note FROM att GROUP BY ALL),
-errors AS (SELECT o_orderkey % 3000 AS text_id, o_custkey % 15 AS ref_id, CASE WHEN o_custkey % 9 > 0 THEN ({_ARRAY})[CAST(o_custkey % 8 AS INT) + 1] END AS source, o_custkey % 7 AS correct_ref FROM orders WHERE o_orderkey % 5 = 0),
+errors AS (SELECT o_orderkey % 3000 AS text_id, o_custkey % 15 AS ref_id, CASE WHEN o_custkey % 9 > 0 THEN ({_ARRAY})[CAST(o_custkey % 8 AS INT) + 1] END AS source, o_custkey % 7 AS correct_ref FROM orders WHERE o_orderpriority = '1-URGENT'),
 flagged AS (SELECT m.text_id, m.ref_id, m.source, any_value(confidence) AS confidence, any_value(note) AS note,
     coalesce(min(e.correct_ref) FILTER (WHERE e.source IS NOT NULL), min(e.correct_ref)) AS correct_ref, count(e.text_id) > 0 AS flagged_error
     FROM merged m LEFT JOIN errors e ON m.text_id = e.text_id AND m.ref_id = e.ref_id AND (e.source IS NULL OR e.source = m.source) GROUP BY ALL),
@@ -26,7 +26,7 @@ kinds AS (SELECT *, CASE WHEN source IN ('lancaster', 'rkts') THEN 'catalog' WHE
 links AS (SELECT text_id, ref_id, bool_and(flagged_error) AS flagged, bool_or(source = 'rkts') AS from_chinese, bool_or(kind IN ('catalog', 'scholarly')) AS catalogued,
     max(CASE WHEN kind = 'computational' THEN coalesce(confidence, 0) END) AS best, bool_or(kind = 'computational') AND NOT bool_or(kind IN ('catalog', 'scholarly')) AS only_computed FROM kinds GROUP BY ALL),
 counted AS (SELECT *, sum(CASE WHEN only_computed THEN 1 ELSE 0 END) OVER (PARTITION BY text_id) AS n_computed FROM links),
-rel AS (SELECT DISTINCT o_orderkey % 3000 AS digest_id, o_custkey % 3000 AS source_id FROM orders WHERE o_orderkey % 3 = 0),
+rel AS (SELECT DISTINCT o_orderkey % 3000 AS digest_id, o_custkey % 3000 AS source_id FROM orders WHERE o_orderstatus = 'F'),
 inh AS (SELECT DISTINCT digest_id AS text_id, ref_id FROM rel JOIN links ON links.text_id = rel.source_id AND catalogued),
 classes AS (SELECT c.text_id, c.ref_id, CASE WHEN flagged THEN 'error:flagged' WHEN from_chinese THEN 'chinese_to_tibetan' WHEN catalogued THEN 'parallel' WHEN inh.ref_id IS NOT NULL THEN 'indirect:inherited'
     WHEN only_computed AND n_computed >= {P.encyclopedic_links} THEN 'indirect:quotation' WHEN only_computed AND best >= {P.computational_confidence} THEN 'parallel:computational' ELSE 'uncertain' END AS link_class
@@ -49,12 +49,12 @@ def attestations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_custkey")
     source = F.when(k % 9 > 0, F.element_at(F.array(*map(F.lit, SOURCES)), (k % 8 + 1).cast("int")))
-    errors = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select((F.col("o_orderkey") % 3000).alias("text_id"), (k % 15).alias("ref_id"), source.alias("source"), (k % 7).alias("correct_ref"))
+    errors = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select((F.col("o_orderkey") % 3000).alias("text_id"), (k % 15).alias("ref_id"), source.alias("source"), (k % 7).alias("correct_ref"))
     return cc.flag_errors(cc.merge(attestations(spark, sf_dir)), errors)
 
 
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
     rel = o.select((F.col("o_orderkey") % 3000).alias("digest_id"), (F.col("o_custkey") % 3000).alias("source_id")).distinct()
     return cc.classify_links(flagged(spark, sf_dir), rel, P)
 
@@ -128,8 +128,8 @@ def band_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAIRS = """
-rel AS (SELECT o_orderkey AS k, o_orderkey % 3000 AS d, o_custkey % 3000 AS s, ['excerpt', 'digest', 'commentary'][CAST(o_orderkey % 3 AS INT) + 1] AS class FROM orders),
-par AS (SELECT l_orderkey AS text, list_sort(list(DISTINCT l_partkey % 40)) AS refs FROM lineitem WHERE l_orderkey < 1500 GROUP BY l_orderkey),
+rel AS (SELECT o_orderkey AS k, o_orderkey AS d, o_custkey AS s, ['excerpt', 'digest', 'commentary'][CAST(o_orderkey % 3 AS INT) + 1] AS class FROM orders),
+par AS (SELECT l_orderkey AS text, list_sort(list(DISTINCT l_partkey % 40)) AS refs FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey),
 x AS (SELECT k, d, s, class, a.refs AS dr, b.refs AS sr FROM rel LEFT JOIN par a ON a.text = d LEFT JOIN par b ON b.text = s)
 """
 
@@ -137,9 +137,9 @@ x AS (SELECT k, d, s, class, a.refs AS dr, b.refs AS sr FROM rel LEFT JOIN par a
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = F.col("o_orderkey")
     rel = table(spark, sf_dir, "orders").select(
-        o.alias("k"), (o % 3000).alias("d"), (F.col("o_custkey") % 3000).alias("s"), F.element_at(F.array(F.lit("excerpt"), F.lit("digest"), F.lit("commentary")), (o % 3 + 1).cast("int")).alias("class")
+        o.alias("k"), o.alias("d"), F.col("o_custkey").alias("s"), F.element_at(F.array(F.lit("excerpt"), F.lit("digest"), F.lit("commentary")), (o % 3 + 1).cast("int")).alias("class")
     )
-    par = table(spark, sf_dir, "lineitem").where("l_orderkey < 1500").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey") % 40).alias("refs"))
+    par = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey") % 40).alias("refs"))
     one = lambda key, refs: par.select(F.col("l_orderkey").alias(key), F.col("refs").alias(refs))
     return rel.join(one("d", "dr"), "d", "left").join(one("s", "sr"), "s", "left")
 
@@ -193,10 +193,10 @@ def holdout_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(found, "doc_id", "left").agg(F.count("*").alias("n_held"), F.count("hit").alias("n_found"))
 
 
-@query("""SELECT c_custkey AS id, coalesce(max(o_orderpriority) FILTER (WHERE o_orderkey % 2 = 0), c_mktsegment) AS title, c_nationkey AS nation FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_mktsegment, c_nationkey""")
+@query("""SELECT c_custkey AS id, coalesce(max(o_orderpriority) FILTER (WHERE o_orderstatus = 'F'), c_mktsegment) AS title, c_nationkey AS nation FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_mktsegment, c_nationkey""")
 def metadata_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields from several catalogues: the first overwrites, the others fill what is missing."""
-    first = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderpriority").alias("title"))
+    first = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderpriority").alias("title"))
     known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("title"), F.col("c_nationkey").alias("nation"))
     first = first.join(known.select("id"), "id", "left_semi")
     rows = first.withColumn("nation", F.lit(None).cast("int")).withColumn("rank", F.lit(1)).unionByName(known.withColumn("rank", F.lit(2)))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources import html
 from .concordance import ATT, classes, flagged
-from .registry import query, table
+from .registry import query, shared_dir, table
 
 
 @query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang="([a-z]*)"', 1) AS lang,
@@ -48,8 +47,7 @@ def flat_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def run_stats_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run log: one JSON row a run, appended, read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    path = f"{base}/runs-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
     for stage in ("documents", "benchmark"):
         stats = json.dumps({"stage": stage, "table": f"{stage}.parquet"})
         row = table(spark, sf_dir, stage).agg(F.count("*").alias("n_rows")).withColumn("run", F.lit(stats))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a local one only in local mode, where no other machine must see it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; one of fewer splits than there are cores is dealt out, as small files would keep all but a few idle."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

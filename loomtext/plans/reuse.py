@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from ..operators import alignment, candidates, grams, intervals, phonetic
-from ..params import PhoneticParams, ReuseParams
+from ..operators import alignment, candidates, grams, intervals, phonetic, scoring
+from ..params import PhoneticParams, ReuseParams, ScoreParams
 from .registry import query, table
 
 P = ReuseParams()
@@ -186,13 +187,72 @@ def diagonal_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seed_runs(spark, sf_dir)
 
 
+def passages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return items, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
 @query()
 def align_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seed-and-extend alignment of each passage with each document that shares enough of it."""
     pairs = benchmark_contamination(spark, sf_dir).select(F.col("item_id").alias("digest_id"), F.col("doc_id").alias("source_id"))
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return alignment.align_pairs(pairs, items, docs, P)
+    return alignment.align_pairs(pairs, *passages(spark, sf_dir), P)
+
+
+@query(f"""WITH {DOC_GRAMS},
+items AS (SELECT item_id AS id, {WORDS_SQL} AS w FROM benchmark), dw AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+b AS (SELECT id, unnest({GRAMS_SQL}) AS gram FROM items), bg AS (SELECT * FROM b ANTI JOIN stops USING (gram)),
+totals AS (SELECT id, count(*) AS total FROM bg GROUP BY id),
+m AS (SELECT bg.id, g.id AS doc_id, count(*) AS matching FROM bg JOIN g USING (gram) GROUP BY ALL),
+pairs AS (SELECT id, doc_id FROM m JOIN totals USING (id) WHERE matching / total >= {P.min_containment})
+SELECT id AS digest_id, doc_id AS source_id, CAST(len(w) AS BIGINT) AS tiled, CAST(0 AS BIGINT) AS first_start, CAST(0 AS BIGINT) AS gaps, true AS exact_ok FROM pairs JOIN items USING (id)""")
+def alignment_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of each pair cover its passage once, without gaps, and exact ones say the same on both sides."""
+    segments = align_segments(spark, sf_dir)
+    before = F.lag("digest_end").over(Window.partitionBy("digest_id", "source_id").orderBy("segment"))
+    items, docs = (x.select(F.col("id").alias(i), tx.words(F.col("text")).alias(w)) for x, i, w in zip(passages(spark, sf_dir), ("digest_id", "source_id"), ("d", "s")))
+    marked = segments.withColumn("gap", F.coalesce(F.col("digest_start") - before, F.lit(0))).join(items, "digest_id").join(docs, "source_id")
+    part = lambda w, a, b: F.slice(F.col(w), F.col(a).cast("int") + 1, (F.col(b) - F.col(a)).cast("int"))
+    same = (F.col("match_type") != "exact") | (part("d", "digest_start", "digest_end") == part("s", "source_start", "source_end"))
+    out = marked.groupBy("digest_id", "source_id").agg(F.sum(F.col("digest_end") - F.col("digest_start")).alias("tiled"), F.min("digest_start").alias("first_start"), F.sum(F.abs("gap")).alias("gaps"), F.min(F.coalesce(same, F.lit(True))).alias("exact_ok"))
+    return out
+
+
+def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored relations of passages and documents: candidates, alignment, statistics of segments, classes and confidence."""
+    items, docs = passages(spark, sf_dir)
+    pairs = benchmark_contamination(spark, sf_dir).select(F.col("item_id").alias("digest_id"), F.col("doc_id").alias("source_id"), F.col("extent"))
+    statistics = scoring.segment_statistics(alignment.align_pairs(pairs, items, docs, P), P.region_gap)
+    known = docs.select(F.col("id").alias("source_id"), F.size(tx.words(F.col("text"))).alias("s_len"))
+    own = items.select(F.col("id").alias("digest_id"), F.size(tx.words(F.col("text"))).alias("d_len"))
+    return scoring.score_pairs(statistics, own, known, pairs.where("extent = 'whole'"), ScoreParams())
+
+
+@query()
+def relationship_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From candidates to published relations, on passages and documents."""
+    columns = ("digest_id", "source_id", "classification", "confidence", "coverage", "effective", "phonetic_fraction", "avg_segment_length", "longest_segment", "num_source_regions", "crossref")
+    return relations(spark, sf_dir).select(*columns)
+
+
+SEGMENTS = """seg AS (SELECT l_orderkey AS digest_id, l_suppkey % 4 AS source_id, CAST(l_linenumber - 1 AS BIGINT) * 50 AS a, CAST(l_linenumber - 1 AS BIGINT) * 50 + CAST(l_quantity AS BIGINT) AS b, l_partkey % 900 AS sa, l_partkey % 900 + CAST(l_quantity AS BIGINT) AS sb,
+    CASE WHEN l_returnflag = 'R' THEN 'novel' WHEN l_returnflag = 'A' THEN 'phonetic' WHEN l_linestatus = 'F' THEN 'fuzzy' ELSE 'exact' END AS kind FROM lineitem)"""
+
+
+@query(f"""WITH {SEGMENTS}, own AS (SELECT digest_id, source_id, max(b) AS digest_length, CAST(coalesce(sum(b - a) FILTER (WHERE kind <> 'novel'), 0) AS BIGINT) AS matched, coalesce(avg(b - a) FILTER (WHERE kind <> 'novel'), 0.0) AS avg_segment_length,
+    coalesce(max(b - a) FILTER (WHERE kind <> 'novel'), 0) AS longest_segment, CAST(coalesce(sum(b - a) FILTER (WHERE kind = 'phonetic'), 0) AS BIGINT) AS phonetic, CAST(count(*) FILTER (WHERE kind = 'phonetic') AS BIGINT) AS n_phonetic, CAST(count(*) FILTER (WHERE kind <> 'novel') AS BIGINT) AS n_matched FROM seg GROUP BY ALL),
+m AS (SELECT *, max(sb) OVER (PARTITION BY digest_id, source_id ORDER BY sa, sb ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM seg WHERE kind <> 'novel'),
+r AS (SELECT digest_id, source_id, CAST(sum(greatest(0, sb - greatest(sa, coalesce(seen, sa)))) AS BIGINT) AS source_span, CAST(sum(CASE WHEN seen IS NULL OR sa - seen > {P.region_gap} THEN 1 ELSE 0 END) AS BIGINT) AS num_source_regions FROM m GROUP BY ALL)
+SELECT own.*, coalesce(source_span, 0) AS source_span, coalesce(num_source_regions, 0) AS num_source_regions, matched / digest_length AS coverage, CASE WHEN matched > 0 THEN phonetic / matched ELSE 0.0 END AS phonetic_fraction, 1 - matched / digest_length AS novel_fraction FROM own LEFT JOIN r USING (digest_id, source_id)""")
+def segment_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Averages, longest, phonetic share and regions of segments; here line items as segments of orders in four sources."""
+    n, flag = F.col("l_quantity").cast("long"), F.col("l_returnflag")
+    a, sa = (F.col("l_linenumber") - 1).cast("long") * 50, F.col("l_partkey") % 900
+    kind = F.when(flag == "R", "novel").when(flag == "A", "phonetic").when(F.col("l_linestatus") == "F", "fuzzy").otherwise("exact")
+    seg = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("digest_id"), (F.col("l_suppkey") % 4).alias("source_id"), a.alias("digest_start"), (a + n).alias("digest_end"), sa.alias("source_start"), (sa + n).alias("source_end"), kind.alias("match_type")
+    )
+    return scoring.segment_statistics(seg, P.region_gap)
 
 
 @query(f"""WITH {TOKENS}, sizes AS (SELECT source_id, len(w) AS n FROM docs), dsizes AS (SELECT digest_id, len(w) AS n FROM items),
@@ -275,14 +335,25 @@ def syllable_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grams.document_frequency(syllables_of(spark, sf_dir))
 
 
-@query(f"""WITH {SYLLABLES}, pstops AS (SELECT gram FROM p0 GROUP BY gram HAVING count(*) > greatest(floor((SELECT count(DISTINCT id) FROM p0) * {PH.stop_share}), {PH.least_stop})),
+PHONETIC = f"""WITH {SYLLABLES}, pstops AS (SELECT gram FROM p0 GROUP BY gram HAVING count(*) > greatest(floor((SELECT count(DISTINCT id) FROM p0) * {PH.stop_share}), {PH.least_stop})),
 pg AS (SELECT id, gram, n_chars FROM p0 ANTI JOIN pstops USING (gram) JOIN documents ON doc_id = id),
 totals AS (SELECT id AS digest_id, count(*) AS total FROM pg GROUP BY id),
 pairs AS (SELECT d.id AS digest_id, s.id AS source_id, count(*) AS matching FROM pg d JOIN pg s ON d.gram = s.gram AND d.id <> s.id AND s.n_chars >= {P.size_ratio} * d.n_chars GROUP BY ALL)
-SELECT digest_id, source_id, matching, total, matching / total AS containment FROM pairs JOIN totals USING (digest_id) WHERE matching / total >= {PH.min_containment}""")
+SELECT digest_id, source_id, matching, total, matching / total AS containment FROM pairs JOIN totals USING (digest_id) WHERE matching / total >= {PH.min_containment}"""
+
+
+@query(PHONETIC)
 def phonetic_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = syllables_of(spark, sf_dir)
     stops = grams.stop_grams(grams.document_frequency(made), made.select("id").distinct(), PH.stop_share, PH.least_stop)
     sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars")
     g = grams.without(made, stops).join(sizes, "id")
     return candidates.containment(g, g, PH.min_containment, (F.col("d.id") != F.col("s.id")) & (F.col("s.n_chars") >= P.size_ratio * F.col("d.n_chars")))
+
+
+@query(f"""WITH {UNION}, sound AS ({PHONETIC})
+SELECT digest_id, source_id, containment, from_docnumber, false AS from_phonetic FROM merged
+UNION ALL SELECT digest_id, source_id, containment, false, true FROM sound ANTI JOIN merged USING (digest_id, source_id)""")
+def all_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates by grams and cross references, and those by sound that they lack."""
+    return candidates.with_phonetic(merged_candidates(spark, sf_dir), phonetic_candidates(spark, sf_dir)).select("digest_id", "source_id", "containment", "from_docnumber", "from_phonetic")

@@ -91,6 +91,14 @@ def ground_truth_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.ground_truth(expected, one)
 
 
+@query(f"""WITH {SCORES}, hit AS (SELECT DISTINCT digest_id, source_id FROM c WHERE classification IN ('excerpt', 'digest')), p AS (SELECT DISTINCT c_custkey AS digest_id, c_nationkey AS source_id FROM customer)
+SELECT digest_id, source_id, CASE WHEN (digest_id, source_id) IN (SELECT (digest_id, source_id) FROM hit) OR (source_id, digest_id) IN (SELECT (digest_id, source_id) FROM hit) THEN 'FAIL' ELSE 'PASS' END AS status FROM p""")
+def stranger_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that must not be scored as digests of each other, either way."""
+    pairs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("digest_id"), F.col("c_nationkey").cast("long").alias("source_id")).distinct()
+    return scoring.not_of_each_other(pairs, scores(spark, sf_dir)).withColumn("source_id", F.col("source_id").cast("int"))
+
+
 @query("""SELECT l_orderkey AS text_id, l_partkey % 20 AS ref, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total,
 CASE WHEN sum(l_quantity) >= 100 THEN 0.9 WHEN sum(l_quantity) >= 40 THEN 0.7 ELSE 0.5 END AS confidence FROM lineitem GROUP BY ALL HAVING sum(l_quantity) >= 20""")
 def sentence_pair_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
