@@ -24,7 +24,7 @@ def json_or_empty(spark: SparkSession, path: str, schema: str, warn: bool = Fals
     try:
         df = spark.read.schema(f"{schema}, _damaged string").option("multiLine", True).option("columnNameOfCorruptRecord", "_damaged").json(path)
         rows = df.where("_damaged is null").drop("_damaged")
-        if warn and df.where("_damaged is not null").limit(1).count():
+        if warn and any(r["_damaged"] is not None for r in df.limit(1).collect()):
             warnings.warn(f"{path} is no JSON", stacklevel=2)
         return rows
     except AnalysisException as e:

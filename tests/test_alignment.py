@@ -94,6 +94,6 @@ def test_pairs_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame(texts, "id long, text string")
     pairs = spark.createDataFrame([(1, 9), (2, 9), (3, 9), (1, 9)], "digest_id long, source_id long")
     key = lambda d: sorted(map(tuple, d.collect()))
-    one = key(al.align_pairs(pairs, df, df, P, salt=1))
+    one = key(al.align_pairs(pairs, df, df, P, together=1))
     assert one == key(al.align_pairs(pairs.repartition(7), df.repartition(3), df, P))
     assert (1, 9, 0, 0, 40, 50, 90, "exact") in one and (2, 9, 0, 0, 20, -1, -1, "novel") in one

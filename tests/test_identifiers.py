@@ -38,3 +38,12 @@ def test_volumes_of_numbers(spark):
 
 def test_labels(spark):
     assert [r[0] for r in spark.createDataFrame([(5,), (-3,)], "n int").select(ids.toh_label(F.col("n"))).collect()] == ["Toh 5", "CBETA-Tib 3"]
+
+
+def test_more_forms_and_resolution(spark):
+    df = spark.createDataFrame([("T1",), ("2917A",), ("x9",)], "r string").select(ids.catalogue_id(F.col("r")), ids.id_in_volume(F.col("r"), F.lit("T08")), ids.text_number(F.lit("T08n0251")), ids.dictionary_id(F.lit("w/xpr-ddb.pl?5.xml+id('b1')")))
+    assert [tuple(r) for r in df.collect()] == [("T0001", "T08n0001", 251, "5.xml+id(b1)"), ("T2917a", "2917A", 251, "5.xml+id(b1)"), ("x9", "x9", 251, "5.xml+id(b1)")]
+    texts = spark.createDataFrame([("T08n0251",), ("T10n0251",), ("T02n0150A",), ("T05n0220",)], "text_id string")
+    raw = spark.createDataFrame([("T251",), ("251",), ("T08n0251",), ("T05n0220b",), ("T02n0150A",), ("T99n0001",), ("xyz",), ("T7",)], "raw string")
+    got = {r["raw"]: r["text_id"] for r in ids.resolved(raw, texts).collect()}
+    assert got == {"T251": "T08n0251", "251": "T08n0251", "T08n0251": "T08n0251", "T05n0220b": "T05n0220", "T02n0150A": "T02n0150A", "T99n0001": "T99n0001", "xyz": None, "T7": None}
