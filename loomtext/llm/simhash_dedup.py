@@ -37,6 +37,13 @@ GENERATOR = 0b101011100011
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Runs up to this length are compared by shifting the whole array, longer ones one row against the run.
 SHORT_RUN = 24
+#: Of texts that are compared by similarity: words of a shingle, the least similarity, segments of 23 bits, 64-bit words
+#: that hold them after the first, and differing bits of the first that candidates may have.
+WIDE_SHINGLE = 5
+SIMILARITY = 0.8
+WIDE_SEGMENTS = 12
+WIDE_WORDS = 6
+WIDE_BITS = 18
 #: Tasks over which the rows of one component are dealt.
 SALTS = 32
 
@@ -214,17 +221,138 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(of_fp, "fp").select("id", "fp", "component_id")
 
 
+def shingle_hashes(text: bytes, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Distinct hashes of a text's word shingles, ascending; of the whole sequence if it is shorter, none without a word."""
+    w = text.lower().split()
+    n = max(1, len(w) - shingle + 1) if w else 0
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(w[i : i + shingle]), seed) for i in range(n)), np.uint64, n))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """Majority bits of a set of hashes in ``WIDE_SEGMENTS`` segments of 23 bits, after 64 bits that are compared whole."""
+    total = np.zeros(64 * WIDE_WORDS, np.int64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(hashes), 50_000):
+            h = hashes[at : at + 50_000]
+            words = [h]
+            for k in range(1, WIDE_WORDS):  # further bits of a hash by mixing it with another constant
+                x = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+                x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+                words.append(x ^ x >> np.uint64(31))
+            bits = np.unpackbits(np.stack(words, 1).astype(">u8").view(np.uint8).reshape(len(h), -1), axis=1)
+            total += bits.sum(0, dtype=np.int32)
+    return total * 2 > len(hashes)
+
+
+def wide_keys(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of every bucket of rows of wide fingerprints: for each pair of segments all pairs of near codewords."""
+    weights = np.int64(1) << np.arange(22, -1, -1)
+    near = [near_codes(bits[:, 64 + 23 * i : 87 + 23 * i].astype(np.int64) @ weights) for i in range(WIDE_SEGMENTS)]
+    keys, owners = [], []
+    for kind in range(WIDE_SEGMENTS // 2):
+        (x, nx), (y, ny) = near[2 * kind], near[2 * kind + 1]
+        for a, b in itertools.product(range(6), range(6)):
+            ok = np.flatnonzero((nx > a) & (ny > b))
+            keys.append(np.int64(kind) << 24 | x[ok, a] << 12 | y[ok, b])
+            owners.append(ok)
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def close_pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, bits: int = WIDE_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of a run whose 64 bits differ in ``bits`` at most: all of short runs, a spanning forest of long ones'."""
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    length = np.diff(np.r_[start, len(key)])
+    each = np.repeat(length, length)
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    short = (each > 1) & (each <= SHORT_RUN)
+    sk, sn, sf = key[short], node[short], fp[short].view(np.uint64)
+    for lag in range(1, min(SHORT_RUN, len(sk))):
+        i = np.flatnonzero(sk[lag:] == sk[:-lag])
+        if not len(i):
+            break
+        i = i[np.bitwise_count(sf[i] ^ sf[i + lag]) <= bits]
+        left.append(sn[i])
+        right.append(sn[i + lag])
+    for s, n in zip(start[length > SHORT_RUN], length[length > SHORT_RUN]):
+        f, own = fp[s : s + n].view(np.uint64), node[s : s + n]
+        label = np.arange(n)
+        for i in range(n):
+            hits = np.flatnonzero(np.bitwise_count(f ^ f[i]) <= bits)
+            met = unite(label, np.r_[i, hits])
+            left.append(np.full(len(met), own[i]))
+            right.append(own[met])
+    a, b = np.concatenate(left), np.concatenate(right)
+    return np.maximum(a, b)[a != b], np.minimum(a, b)[a != b]
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, seed: int = SEED) -> DataFrame:
+    """(id, node, root) of every row: texts whose sets of word shingles have the Jaccard ``similarity`` or more are linked.
+
+    Texts of that similarity differ in about a seventh of their fingerprint bits, far more than four of 64, so these
+    fingerprints are wider: of each of ``WIDE_SEGMENTS // 2`` pairs of 23-bit segments all pairs of near codewords are
+    buckets. Two segments share one with probability 0.61 at similarity 0.8 and 0.80 at 0.9, so pairs are found with
+    probability 0.94 and 0.997. Candidates need ``WIDE_BITS`` equal bits of 64, then the sets themselves decide. A bucket of
+    more than ``SHORT_RUN`` rows gives a spanning forest of its candidates. ``node``: texts with equal sets; ``root``:
+    the smallest node reachable. Null, empty and wordless texts are one node; ids should be unique or rows alike.
+    """
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(t, shingle, seed) for t in text_bytes(batch.column(1))]
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes(), seed) for x in sets], np.uint64).view(np.int64)
+            packed = [np.packbits(wide_fingerprint(x)).tobytes() for x in sets]
+            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(node), pa.array(packed, pa.binary())], ["id", "node", "sig"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                raw = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                key, owner = wide_keys(np.unpackbits(raw, axis=1))
+                fp = np.ascontiguousarray(raw[:, :8]).view(">u8").ravel().astype(np.int64)
+                yield pa.record_batch([pa.array(key), pa.array(part.column("node").to_numpy()[owner]), pa.array(fp[owner])], ["key", "node", "fp"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sorted_runs(batches, "run"):
+            a, b = close_pairs(*(part.column(c).to_numpy() for c in ("run", "node", "fp")))
+            if len(a):
+                yield pa.record_batch([pa.array(a), pa.array(b)], ["src", "dst"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own = [shingle_hashes(t, shingle, seed).view(np.int64) for t in text_bytes(part.column(1))]
+                ends = pa.array(np.cumsum([0, *map(len, own)]), pa.int32())
+                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own)))], ["node", "hashes"])
+
+    _tables()  # made once here and sent along with the kernels
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    fps = written(rows.mapInArrow(marks, "id long, node long, sig binary"), "signatures")
+    distinct = written(fps.groupBy("node").agg(F.min_by(F.struct("id", "sig"), "id").alias("x")).select("node", F.col("x.id").alias("rep"), F.col("x.sig").alias("sig")), "nodes")
+    buckets = distinct.select("node", "sig").mapInArrow(spread, "key long, node long, fp long")
+    pairs = written(dealt(buckets, buckets.select("key"), "node").mapInArrow(compare, "src long, dst long").distinct(), "pairs")
+    asked = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(distinct.select("node", F.col("rep").alias("id")), "node")
+    own = written(rows.join(asked, "id").dropDuplicates(["node"]).select("node", "text").mapInArrow(sets, "node long, hashes array<long>"), "sets")
+    both = pairs.join(own.toDF("src", "x"), "src").join(own.toDF("dst", "y"), "dst").withColumn("shared", F.size(F.array_intersect("x", "y")))
+    links = both.where(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared")) - 1e-9).select("src", "dst")
+    roots = components(links).withColumnRenamed("node", "_node")
+    return fps.select("id", "node").join(roots, F.col("node") == F.col("_node"), "left").select("id", "node", F.coalesce("root", "node").alias("root"))
+
+
 def deduplicated(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The documents, one of each component: the one with the smallest doc_id (null last), all columns kept.
+    """The documents, one of each group of :func:`similar_texts`: the one with the smallest doc_id (null last), all columns kept.
 
     Null, empty and wordless texts are alike and one of them stays; very long texts are compared whole; of repeated rows,
     and of rows that agree in id and text, one stays; an empty table gives no rows. Columns may have any names.
     """
     key, mark = free_name(docs, "key"), F.xxhash64("doc_id", text_col, F.length(text_col))
     rows = docs.select(mark.alias("id"), F.col("doc_id").alias("doc"), F.col(text_col).alias("text"))
-    found = near_duplicates(rows, "id", "text", **options).select("id", "component_id").distinct()
+    found = similar_texts(rows, "id", "text", **options).select("id", "root").distinct()
     first = F.min_by("id", F.struct(F.col("doc").isNull(), "doc", "id")).alias(key)
-    kept = found.join(rows.select("id", "doc").distinct(), "id").groupBy("component_id").agg(first).select(key)
+    kept = found.join(rows.select("id", "doc").distinct(), "id").groupBy("root").agg(first).select(key)
     return docs.withColumn(key, mark).join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 

@@ -118,3 +118,41 @@ def test_split_buckets_lose_no_link(spark, monkeypatch):
     for _, f in pairs:
         wanted.setdefault(want[f], set()).add(f)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
+
+
+def jaccard(a, b):
+    x, y = (set(sh.shingle_hashes(t.encode()).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_similar_texts_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [" ".join(rng.choice(vocabulary, n)) for n in (30, 60, 120, 400, 3, 5)]
+    texts = []
+    for t in base:
+        for k in range(25):
+            w = t.split()
+            for _ in range(k % 7):
+                w[rng.integers(len(w))] = str(rng.choice(vocabulary))
+            texts.append(" ".join(w))
+    texts += ["", " ", "A  b", "a b", *(" ".join(rng.choice(vocabulary, 80)) for _ in range(100))]
+    got = {r["id"]: r["root"] for r in sh.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    root = list(range(len(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    for _ in range(20):
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if root[i] == root[j]]
+    assert all(got[i] != got[j] for i in range(len(texts)) for j in range(i) if root[i] != root[j])
+    assert np.mean([got[i] == got[j] for i, j in linked]) > 0.97 and len(linked) > 300
+    near = [(i, j) for i, j in pairs if jaccard(texts[i], texts[j]) >= 0.9]
+    assert np.mean([got[i] == got[j] for i, j in near]) > 0.99
+
+
+def test_a_large_group_of_similar_texts_is_one(spark, monkeypatch):
+    monkeypatch.setattr(sh, "SHORT_RUN", 5)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join([*words[:i], f"x{i}", *words[i + 1 :]]) for i in range(120)] + [" ".join(reversed(words))]
+    got = sh.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len({r["root"] for r in got if r["id"] < 120}) == 1 and len({r["root"] for r in got}) == 2
