@@ -261,20 +261,28 @@ def wide_keys(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def close_pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, bits: int = WIDE_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes of a run whose 64 bits differ in ``bits`` at most: all of short runs, a spanning forest of long ones'."""
+    """Pairs of nodes of a run that connect all of its nodes whose 64 bits differ in ``bits`` at most.
+
+    Short runs are compared together and linked through the first close row; long ones give a spanning forest.
+    """
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     length = np.diff(np.r_[start, len(key)])
     each = np.repeat(length, length)
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     short = (each > 1) & (each <= SHORT_RUN)
     sk, sn, sf = key[short], node[short], fp[short].view(np.uint64)
+    first, met = np.arange(len(sk)), []  # the first close row of the run; close rows
     for lag in range(1, min(SHORT_RUN, len(sk))):
         i = np.flatnonzero(sk[lag:] == sk[:-lag])
         if not len(i):
             break
         i = i[np.bitwise_count(sf[i] ^ sf[i + lag]) <= bits]
-        left.append(sn[i])
-        right.append(sn[i + lag])
+        first[i + lag] = np.minimum(first[i + lag], i)
+        met.append((i, i + lag))
+    for i, j in met:  # rows with the same first one are linked through it
+        own = (first[i] != first[j]) | (first[j] == i)
+        left.append(sn[i[own]])
+        right.append(sn[j[own]])
     for s, n in zip(start[length > SHORT_RUN], length[length > SHORT_RUN]):
         f, own = fp[s : s + n].view(np.uint64), node[s : s + n]
         label = np.arange(n)
@@ -293,8 +301,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts of that similarity differ in about a seventh of their fingerprint bits, far more than four of 64, so these
     fingerprints are wider: of each of ``WIDE_SEGMENTS // 2`` pairs of 23-bit segments all pairs of near codewords are
     buckets. Two segments share one with probability 0.61 at similarity 0.8 and 0.80 at 0.9, so pairs are found with
-    probability 0.94 and 0.997. Candidates need ``WIDE_BITS`` equal bits of 64, then the sets themselves decide. A bucket of
-    more than ``SHORT_RUN`` rows gives a spanning forest of its candidates. ``node``: texts with equal sets; ``root``:
+    probability 0.94 and 0.997. Candidates need ``WIDE_BITS`` equal bits of 64, then the sets themselves decide. A bucket
+    gives pairs that connect its candidates, not all of them. ``node``: texts with equal sets; ``root``:
     the smallest node reachable. Null, empty and wordless texts are one node; ids should be unique or rows alike.
     """
 
