@@ -1,9 +1,10 @@
 """Language-model scores from a probabilistic suffix tree.
 
 Texts are lower-cased words separated by one space and closed by an end symbol; the tree's symbols are their UTF-8
-bytes. A context of up to ``DEPTH`` symbols is a state if it makes up at least the share ``LEAST_SHARE`` of all training
-positions (so there are at most ``DEPTH / LEAST_SHARE`` states, however large the corpus) and its next-symbol
-distribution diverges from that of the next shorter context by more than a likelihood-ratio bound. Distributions are
+bytes. A context of up to ``depth`` symbols is a state if it occurs at ``least`` times the square root of the number of
+training positions or more, and its next-symbol distribution diverges from that of the next shorter context by more than
+a likelihood-ratio bound. So the tree grows with the corpus, as the square root of its size at most (``depth / least``
+times that), and more text adds rarer contexts, while what every task holds grows far more slowly than the text. Distributions are
 smoothed with the shorter context's. Each symbol is scored in the longest suffix of its history that is a state. The
 states, closed under prefixes, form an automaton, so that a text is scored by array look-ups on many stretches at once.
 
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, slices, table, text_bytes, written
 
+#: Symbols of the longest context; a window of seven bytes is counted as one number.
 DEPTH = 6
-LEAST_SHARE = 1e-5
+#: Occurrences that a context needs, in square roots of the number of training positions.
+LEAST = 0.025
 #: Likelihood-ratio bound of a state: nats for itself and for each distinct next symbol.
 DIVERGENCE = (5.0, 2.0)
 ROOT_PRIOR = 0.1
@@ -203,13 +206,13 @@ def build_tree(levels: list[list[tuple[int, np.ndarray, np.ndarray]]]) -> Tree:
     return Tree(classes, width, np.log10(np.stack(probability)).astype(np.float32).ravel(), moves.ravel())
 
 
-def contexts(grams: DataFrame, symbols: int) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+def contexts(grams: DataFrame, symbols: int, least: float = LEAST) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
     """The frequent contexts of each length with their next symbols; a context has at most 256 of them."""
     levels: list[list[tuple[int, np.ndarray, np.ndarray]]] = []
     rows = grams.select("key", "n")
     for d in range(DEPTH, -1, -1):
         lists = rows.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("total"), F.collect_list(F.struct(F.col("key").bitwiseAND(255).cast("int").alias("s"), "n")).alias("next"))
-        got = lists.where(F.col("total") >= LEAST_SHARE * symbols).select("context", F.expr("transform(next, x -> x.s)").alias("s"), F.expr("transform(next, x -> x.n)").alias("n")).toArrow().to_pydict()
+        got = lists.where(F.col("total") >= least * symbols**0.5).select("context", F.expr("transform(next, x -> x.s)").alias("s"), F.expr("transform(next, x -> x.n)").alias("n")).toArrow().to_pydict()
         levels.append([(c, np.array(s), np.array(n)) for c, s, n in zip(got["context"], got["s"], got["n"])])
         if d:
             rows = rows.groupBy(F.col("key").bitwiseAND((1 << 8 * d) - 1).alias("key")).agg(F.sum("n").alias("n"))
@@ -222,11 +225,12 @@ def contexts(grams: DataFrame, symbols: int) -> list[list[tuple[int, np.ndarray,
     return levels[::-1]
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, least: float = LEAST) -> DataFrame:
     """(id, trained, n_tokens, n_known, train_tokens, base_score, score) of every row; ``train`` chooses what is learnt.
 
     Null and empty texts are one end token; a null id is never learnt from; repeated rows are scored alike; with nothing
-    to learn from all counts are 0; an empty table gives no rows; other columns are ignored.
+    to learn from all counts are 0; very long texts are scored whole; an empty table gives no rows; other columns are
+    ignored. ``least``: see the module.
     """
     chosen = F.coalesce(train if train is not None else F.lit(True), F.lit(False))
     own = docs.select(F.col(id_col).cast("long").alias("id"), chosen.alias("trained"), F.col(text_col).alias("text"))
@@ -238,7 +242,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = counts.where("kind = 0").select("key", "n")
     top = words.where(F.col("n") >= max(1.0, FREQUENT * tokens)).toArrow()
     known = dict(zip(top["key"].to_pylist(), (log10(n + BASE_PRIOR) for n in top["n"].to_pylist())))
-    tree = build_tree(contexts(counts.where("kind = 1"), symbols))
+    tree = build_tree(contexts(counts.where("kind = 1"), symbols, least))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(((tree.classes, tree.width, tree.logs, tree.moves), known))  # plain arrays
     end_log, norm = log10(texts + BASE_PRIOR), log10(tokens + BASE_PRIOR * (types + 1))
