@@ -1,10 +1,10 @@
 """Language-model scores from a probabilistic suffix tree.
 
 Texts are lower-cased words separated by one space and closed by an end symbol; the tree's symbols are their UTF-8
-bytes. A context of up to ``depth`` symbols is a state if it occurs at ``least`` times the square root of the number of
-training positions or more, and its next-symbol distribution diverges from that of the next shorter context by more than
-a likelihood-ratio bound. So the tree grows with the corpus, as the square root of its size at most (``depth / least``
-times that), and more text adds rarer contexts, while what every task holds grows far more slowly than the text. Distributions are
+bytes. A context of up to ``depth`` symbols is a state if it occurs at least ``least`` times ``n ** (2 / 3)`` times among
+``n`` training positions, and its next-symbol distribution diverges from that of the next shorter context by more than
+a likelihood-ratio bound. So the tree grows with the corpus, as the cube root of its size at most (``DEPTH / least`` times
+that): more text adds rarer contexts, while what every task holds grows far more slowly than the text. Distributions are
 smoothed with the shorter context's. Each symbol is scored in the longest suffix of its history that is a state. The
 states, closed under prefixes, form an automaton, so that a text is scored by array look-ups on many stretches at once.
 
@@ -31,8 +31,8 @@ from .common import crc_mod, slices, table, text_bytes, written
 
 #: Symbols of the longest context; a window of seven bytes is counted as one number.
 DEPTH = 6
-#: Occurrences that a context needs, in square roots of the number of training positions.
-LEAST = 0.025
+#: Occurrences that a context needs, over the number of training positions to the power of 2/3.
+LEAST = 0.003
 #: Likelihood-ratio bound of a state: nats for itself and for each distinct next symbol.
 DIVERGENCE = (5.0, 2.0)
 ROOT_PRIOR = 0.1
@@ -44,7 +44,7 @@ END, GAP = b"\n", b" "
 #: Symbols that one pass of the scoring automaton takes in a row.
 STRETCH = 512
 #: Distinct counts that a task gathers before it merges or hands them on.
-GATHER = 4_000_000
+GATHER = 3_000_000
 WORDS_HELD = 300_000
 
 
@@ -190,7 +190,7 @@ def build_tree(levels: list[list[tuple[int, np.ndarray, np.ndarray]]]) -> Tree:
             else:
                 p = base  # no state of its own: scored as its suffix, kept only as a step to longer ones
             names[key] = len(probability)
-            probability.append(p)
+            probability.append(p if p is base else p.astype(np.float32))
             parents.append(parent)
             own.append(key)
     moves = np.zeros((len(own), width), np.int32)
@@ -212,8 +212,13 @@ def contexts(grams: DataFrame, symbols: int, least: float = LEAST) -> list[list[
     rows = grams.select("key", "n")
     for d in range(DEPTH, -1, -1):
         lists = rows.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("total"), F.collect_list(F.struct(F.col("key").bitwiseAND(255).cast("int").alias("s"), "n")).alias("next"))
-        got = lists.where(F.col("total") >= least * symbols**0.5).select("context", F.expr("transform(next, x -> x.s)").alias("s"), F.expr("transform(next, x -> x.n)").alias("n")).toArrow().to_pydict()
-        levels.append([(c, np.array(s), np.array(n)) for c, s, n in zip(got["context"], got["s"], got["n"])])
+        got = lists.where(F.col("total") >= least * symbols ** (2 / 3)).select("context", F.expr("transform(next, x -> x.s)").alias("s"), F.expr("transform(next, x -> x.n)").alias("n")).toArrow().combine_chunks()
+        ends, flat = [np.empty(0, np.int64)] * 2, [np.empty(0, np.int64)] * 2
+        for k, c in enumerate(("s", "n") if got.num_rows else ()):  # one array for all contexts of a length
+            lists = got.column(c).chunk(0)
+            ends[k], flat[k] = lists.offsets.to_numpy(), lists.values.to_numpy()
+        levels.append([(c, flat[0][ends[0][i] : ends[0][i + 1]], flat[1][ends[1][i] : ends[1][i + 1]]) for i, c in enumerate(got.column("context").to_pylist())])
+        del got
         if d:
             rows = rows.groupBy(F.col("key").bitwiseAND((1 << 8 * d) - 1).alias("key")).agg(F.sum("n").alias("n"))
             if d >= DEPTH - 1:

@@ -32,7 +32,7 @@ def brute_score(tree_levels, text):
         for context, following in tree_levels[d].items():
             total = sum(following.values())
             parent = states.get((d - 1, context & ((1 << 8 * (d - 1)) - 1)))
-            if total < lm.LEAST * n**0.5 or parent is None or (d > 1 and (d - 1, context >> 8) not in states):
+            if total < lm.LEAST * n ** (2 / 3) or parent is None or (d > 1 and (d - 1, context >> 8) not in states):
                 continue
             kl = sum(c * math.log(c / total / parent[x]) for x, c in following.items())
             p = parent
