@@ -2,9 +2,13 @@
 
 Each table hashes a vector to the signs of its products with ``BITS`` seeded hyperplanes. Two vectors at cosine 0.95
 agree in one sign with probability 0.899, so they share a bucket of at least one of 24 tables of 14 bits with
-probability 0.998; links above the threshold are safer. Candidates are verified in double precision. A pair that meets
-in several tables counts in the first of them only, which both rows can tell from their codes, so that no list of pairs
-is ever made distinct or even made: a bucket gives counts for each vector and a spanning forest of its links.
+probability 0.998; links above the threshold are safer. A pair that meets in several tables counts in the first of them
+only, which both rows can tell from their codes, so that no list of pairs is ever made distinct or even made.
+
+Buckets are first made of codes alone, which are far shorter than vectors. A row stays in a bucket if its code differs in
+few enough of all sign bits from that of another row that it meets there first; only then is its vector fetched. So a
+vector travels about once for each bucket in which it has a partner, not once for each table. Vectors are compared in
+double precision; a bucket gives counts for each vector and a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -22,9 +26,13 @@ THRESHOLD = 0.95
 TABLES = 24
 BITS = 14
 SEED = 42
+#: Standard deviations by which the differing sign bits of a candidate may exceed what a link at the threshold has on average.
+MARGIN = 7.0
 #: Runs up to this length are compared by shifting the whole array, longer ones by blocks of products.
 SHORT_RUN = 16
 BLOCK = 512
+#: Pairs of codes that a long run compares at a time.
+PAIRS_HELD = 1_000_000
 
 
 def hyperplanes(dim: int, tables: int = TABLES, bits: int = BITS, seed: int = SEED) -> np.ndarray:
@@ -37,6 +45,48 @@ def codes(x: np.ndarray, tables: int = TABLES, bits: int = BITS, seed: int = SEE
     return (signs @ (1 << np.arange(bits))).astype(np.uint16)
 
 
+def most_bits(threshold: float = THRESHOLD, tables: int = TABLES, bits: int = BITS, margin: float = MARGIN) -> int:
+    """Differing sign bits that a candidate may have: a link has more with a probability of about 1e-10."""
+    p, n = np.arccos(np.clip(threshold, -1, 1)) / np.pi, tables * bits
+    return int(np.ceil(n * p + margin * np.sqrt(n * p * (1 - p))))
+
+
+def partnered(run: np.ndarray, block: np.ndarray, code: np.ndarray, bits: int, most: int) -> np.ndarray:
+    """Which rows of the runs have another whose codes differ in ``most`` bits at most and agree here for the first time."""
+    n, tables = code.shape
+    here = (run >> 20 >> bits).astype(np.int64)
+    words = np.ascontiguousarray(np.pad(code, ((0, 0), (0, -tables % 4)))).view(np.uint64)
+    start = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    length = np.diff(np.r_[start, n])
+    each = np.repeat(length, length)
+    found = np.zeros(n, bool)
+
+    def mark(i: np.ndarray, j: np.ndarray) -> None:
+        for at in range(0, len(i), 200_000):
+            a, b = i[at : at + 200_000], j[at : at + 200_000]
+            ok = ((code[a] == code[b]).argmax(1) == here[a]) & ((block[a] < 0) | (block[a] != block[b]))
+            found[a[ok]] = found[b[ok]] = True
+
+    short = np.flatnonzero((each > 1) & (each <= SHORT_RUN))
+    for a, b in _pairs(run[short]):
+        for at in range(0, len(a), 200_000):
+            i, j = short[a[at : at + 200_000]], short[b[at : at + 200_000]]
+            near = np.bitwise_count(words[i] ^ words[j]).sum(1) <= most
+            mark(i[near], j[near])
+    for s, size in zip(start[length > SHORT_RUN], length[length > SHORT_RUN]):
+        own, step = words[s : s + size], max(1, PAIRS_HELD // size)
+        for at in range(0, size, step):
+            rows = np.arange(s + at, s + min(size, at + step))
+            rows = rows[~found[rows]]  # a row found already was found with each of its partners, or they look for it
+            apart = np.zeros((len(rows), size), np.uint16)
+            for k in range(own.shape[1]):
+                apart += np.bitwise_count(words[rows, k][:, None] ^ own[None, :, k])
+            r, c = np.nonzero(apart <= most)
+            r, c = rows[r], s + c
+            mark(r[r != c], c[r != c])
+    return found
+
+
 def _pairs(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for lag in range(1, min(SHORT_RUN, len(key))):
         i = np.flatnonzero(key[lag:] == key[:-lag])
@@ -106,11 +156,12 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     x = F.col(vector_col)
     usable = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))) & F.exists(x, lambda v: v != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(usable, F.transform(x, lambda v: v + F.lit(0.0).cast("float"))).alias("v"))
-    rows = written(rows.withColumn("same", F.sha2(F.to_json(F.struct("v")).cast("binary"), 256)), "vectors")
+    rows = written(rows.withColumn("same", F.unhex(F.sha2(F.to_json(F.struct("v")).cast("binary"), 256))), "vectors")
     groups = rows.where("v is not null").groupBy("same").agg(F.count("*").alias("copies"), F.min("id").alias("low"), F.first("v").alias("v"))
-    groups = written(groups.withColumn("ident", F.xxhash64("same")), "groups")
+    groups = groups.withColumn("ident", F.xxhash64("same"))
+    most = most_bits(threshold, tables, bits)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 b = batch.slice(at, 1024)
@@ -119,13 +170,27 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 for dim in np.unique(size):
                     some = b.filter(pa.array(size == dim))
                     x = np.asarray(some.column("v").flatten()).reshape(-1, dim).astype(np.float64)
-                    c = codes(x, tables, bits, seed)
-                    base = (int(dim) & 0x3FF) << 33
-                    key = (base | np.arange(tables, dtype=np.int64)[None, :] << bits | c).ravel()
-                    each = np.repeat(np.arange(len(x)), tables)
                     packed = pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())
-                    coded = pa.array([r.tobytes() for r in c], pa.binary())
-                    yield pa.record_batch([pa.array(key), some.column("ident").take(each), some.column("copies").take(each), packed.take(each), coded.take(each)], ["key", "ident", "copies", "v", "codes"])
+                    coded = pa.array([r.tobytes() for r in codes(x, tables, bits, seed)], pa.binary())
+                    width = pa.array(np.full(len(x), dim, np.int32))
+                    yield pa.record_batch([*(some.column(c) for c in ("same", "ident", "copies", "low")), width, packed, coded], ["same", "ident", "copies", "low", "width", "v", "codes"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                b = batch.slice(at, 4096)
+                c = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint16).reshape(-1, tables)
+                base = (b.column("width").to_numpy().astype(np.int64) & 0x3FF) << 33
+                key = (base[:, None] | np.arange(tables, dtype=np.int64)[None, :] << bits | c).ravel()
+                each = np.repeat(np.arange(b.num_rows), tables)
+                yield pa.record_batch([pa.array(key), b.column("ident").take(each), b.column("codes").take(each)], ["key", "ident", "codes"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sorted_runs(batches, "run"):
+            run, block = part.column("run").to_numpy(), part.column("block").to_numpy()
+            code = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint16).reshape(-1, tables)
+            found = pa.array(partnered(run & ((1 << 53) - 1), block, code, bits, most))
+            yield from part.select(["run", "ident", "block"]).filter(found).to_batches()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sorted_runs(batches, "run"):
@@ -142,12 +207,14 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                     if len(a):
                         yield pa.record_batch([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
 
-    spread_rows = groups.select("ident", "copies", "v").mapInArrow(spread, "key long, ident long, copies long, v binary, codes binary")
-    keys = groups.select("ident", "copies", "v").mapInArrow(spread, "key long, ident long, copies long, v binary, codes binary").select("key")
-    found = written(dealt(spread_rows, keys, "ident").mapInArrow(verify, "kind int, a long, b long"), "links")
+    signed = written(groups.mapInArrow(sign, "same binary, ident long, copies long, low long, width int, v binary, codes binary"), "groups")
+    buckets = signed.select("ident", "width", "codes").mapInArrow(spread, "key long, ident long, codes binary")
+    met = written(dealt(buckets, buckets.select("key"), "ident").mapInArrow(meet, "run long, ident long, block int"), "met")
+    fetched = met.join(signed.select("ident", "copies", "v", "codes"), "ident").repartition("run").sortWithinPartitions("run", "ident")
+    found = written(fetched.mapInArrow(verify, "kind int, a long, b long"), "links")
     counts = found.where("kind = 0").groupBy(F.col("a").alias("ident")).agg(F.sum("b").alias("others"))
     roots = components(found.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "ident")
-    known = groups.select("same", "ident", "copies", "low").join(counts, "ident", "left").join(roots, "ident", "left").withColumn("root", F.coalesce("root", "ident"))
+    known = signed.select("same", "ident", "copies", "low").join(counts, "ident", "left").join(roots, "ident", "left").withColumn("root", F.coalesce("root", "ident"))
     lows = known.groupBy("root").agg(F.min("low").alias("component_id"))
     known = known.join(lows, "root").select("same", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     none = rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))

@@ -71,3 +71,36 @@ def test_split_buckets_count_each_pair_once(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted(((str(r["id"]), r["n_links"], r["component_id"]) for r in ed.link_vectors(df).collect()), key=str)
     assert got == brute(rows)
+
+
+def test_only_rows_with_a_partner_stay_in_a_bucket():
+    rng = np.random.default_rng(9)
+    code = rng.integers(0, 1 << 14, (90, 24)).astype(np.uint16)
+    for i in range(0, 90, 3):
+        code[i + 1] = code[i] ^ np.uint16(1 << 3)  # one bit of each table
+        code[i + 1, 5] = code[i, 5]
+    most = ed.most_bits()
+    for size in (10, 90):  # short runs and one long one
+        for t in (4, 5, 6):
+            code[:, t] = 7
+            run = (np.int64(t) << 14 << 20) + np.arange(90) // size
+            found = ed.partnered(run, np.full(90, -1), code, 14, most)
+            want = np.zeros(90, bool)
+            for i in range(90):
+                for j in range(90):
+                    bits = sum(bin(int(a ^ b)).count("1") for a, b in zip(code[i], code[j]))
+                    first = [int(a) == int(b) for a, b in zip(code[i], code[j])].index(True)
+                    want[i] |= i != j and i // size == j // size and bits <= most and first == t
+            assert found.tolist() == want.tolist()
+
+
+def test_links_keep_far_below_the_bound_of_bits():
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((400, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other = rng.standard_normal((400, 32))
+    other -= (other * x).sum(1, keepdims=True) * x
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    y = 0.95 * x + math.sqrt(1 - 0.95**2) * other
+    apart = np.bitwise_count(ed.codes(x) ^ ed.codes(y)).sum(1)
+    assert apart.max() <= ed.most_bits() - 10
