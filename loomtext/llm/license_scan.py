@@ -38,6 +38,8 @@ NAMES = {
     "CC-BY-ND-4.0": ("CC BY-ND 4.0", "CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
     "CC0-1.0": ("CC0 1.0", "CC0-1.0", "CC0 1.0 Universal"),
     "Unlicense": ("Unlicense", "The Unlicense"),
+    "Zlib": ("zlib License", "zlib/libpng License", "Zlib"),
+    "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0", "BSL-1.0"),
 }
 # The notices that name a licence.
 NOTICES = (
@@ -85,7 +87,48 @@ TEXTS = {
         "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "LGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
+    ),
+    "LGPL-2.1": (
+        "This library is free software;",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;",
+        "either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
+    ),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",),
+    "CC0-1.0": ("To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty.",
+        "In no event will the authors be held liable for any damages arising from the use of this software.",
+    ),
+    "BSL-1.0": ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",),
+}
+# Sentences that open the whole texts of long licences, and no other's.
+PREAMBLES = {
+    "GPL-3.0": ("The GNU General Public License is a free, copyleft license for software and other kinds of works.",),
+    "AGPL-3.0": ("The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",),
+    "GPL-2.0": (
+        "The licenses for most software are designed to take away your freedom to share and change it.",
+        "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+    ),
+    "LGPL-2.1": (
+        "The licenses for most software are designed to take away your freedom to share and change it.",
+        "By contrast, the GNU General Public Licenses are intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+    ),
+    "LGPL-3.0": ("This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",),
+    "Apache-2.0": (
+        "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",
+        "\"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.",
+    ),
+    "EPL-2.0": ("THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\").",),
 }
+# Paths of Creative Commons licences, which their notices name.
+DEEDS = {"CC-BY-4.0": "licenses/by/4.0", "CC-BY-SA-4.0": "licenses/by-sa/4.0", "CC-BY-NC-4.0": "licenses/by-nc/4.0", "CC-BY-ND-4.0": "licenses/by-nd/4.0", "CC0-1.0": "publicdomain/zero/1.0"}
 
 
 def normal_sentence(text: str) -> str:
@@ -102,7 +145,8 @@ def rules() -> tuple[list[str], list[tuple[str, list[int]]]]:
                 at = known.setdefault(normal_sentence(notice.format(name)), len(known) + 1)
                 if (licence, [at]) not in found:
                     found.append((licence, [at]))
-    for licence, parts in TEXTS.items():
+    deeds = [(licence, (f"To view a copy of this license, visit {scheme}://creativecommons.org/{path}/",)) for licence, path in DEEDS.items() for scheme in ("http", "https")]
+    for licence, parts in [*TEXTS.items(), *PREAMBLES.items(), *deeds]:
         pieces = [normal_sentence(x) for part in parts for x in re.split(r"(?<=[.!?;])\s+", part)]
         found.append((licence, [known.setdefault(p, len(known) + 1) for p in pieces]))
     return list(known), found

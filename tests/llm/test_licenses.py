@@ -51,6 +51,14 @@ def test_wrapped_texts_below_lines_without_a_full_stop(spark):
     assert [got[i][0] for i in range(len(texts))] == [["MIT"], ["MIT"], ["ISC"], ["GPL-3.0"], ["MIT"], ["MIT"], [], []]
 
 
+def test_every_text_and_preamble_names_its_licence_alone(spark):
+    wrap = lambda parts: "Heading\n\n" + "\n".join(textwrap.wrap(" ".join(parts) + " Next.", 70))
+    want = [(licence, [p if p[-1] in ".;" else p + "." for p in parts]) for group in (ls.TEXTS, ls.PREAMBLES) for licence, parts in group.items()]
+    want += [(licence, (f"To view a copy of this license, visit https://creativecommons.org/{path}/.",)) for licence, path in ls.DEEDS.items()]
+    got = licenses(spark, [wrap(parts) for _, parts in want] + [" ".join(parts) + " Next." for _, parts in want])
+    assert [got[i][0] for i in range(2 * len(want))] == 2 * [[licence] for licence, _ in want]
+
+
 def test_every_notice_is_found(spark):
     known, rules = ls.rules()
     texts = [n.format(name) + "." for names in ls.NAMES.values() for name in names for n in ls.NOTICES]
