@@ -23,10 +23,12 @@ _OWN: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where that is unset, as in tests."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only in local mode, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = f"{tempfile.gettempdir()}/checkpoints/{os.getpid()}"
     if own not in _OWN:
         _OWN.add(own)
