@@ -56,3 +56,17 @@ def test_empty_and_wordless_tables(spark, empty):
     assert mixing.mixed(empty).collect() == []
     wordless = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert [(r["taken"], r["target"]) for r in mixing.mix(wordless).collect()] == [(0, 0.0)] * 2
+
+
+def test_query_against_its_sql(spark, tmp_path):
+    import duckdb
+    from conftest import sentence
+
+    rows = [(i, sentence(i, 3 + i % 40) if i % 7 else None, f"s{i % 5}" if i % 11 else None) for i in range(120)] + [(500, "", "s0")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = mixing.op6_mixing(spark, str(tmp_path))
+    rounded = lambda df: sorted(tuple(round(float(v), 6) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    assert got.columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
+    assert rounded(got.toPandas()) == rounded(con.sql(mixing.ORACLE).df())

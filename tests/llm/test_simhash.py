@@ -156,3 +156,18 @@ def test_a_large_group_of_similar_texts_is_one(spark, monkeypatch):
     texts = [" ".join([*words[:i], f"x{i}", *words[i + 1 :]]) for i in range(120)] + [" ".join(reversed(words))]
     got = sh.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert len({r["root"] for r in got if r["id"] < 120}) == 1 and len({r["root"] for r in got}) == 2
+
+
+def test_query_against_loops(spark, tmp_path):
+    from conftest import sentence
+
+    texts = [sentence(i) for i in range(12)] + [sentence(3), sentence(4, 400), sentence(4, 401), sentence(4, 402), "Case CASE case", "case case CASE", None, "", " \t"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    fps = {i: brute_fingerprint((t or "").encode()) for i, t in enumerate(texts)}
+    lowest = dict(zip(fps, fps))
+    for _ in texts:
+        for i in fps:
+            lowest[i] = min(lowest[j] for j in fps if bin(fps[i] ^ fps[j]).count("1") <= 4)
+    got = sh.op1_simhash(spark, str(tmp_path))
+    assert got.columns[:3] == ["doc_id", "fingerprint", "component_id"]
+    assert sorted(tuple(r)[:3] for r in got.collect()) == [(i, f"{fps[i]:016x}", lowest[i]) for i in fps]

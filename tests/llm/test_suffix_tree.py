@@ -85,3 +85,21 @@ def test_nothing_to_learn_from(odd, empty):
     got = lm.score_texts(odd, train=F.lit(False)).collect()
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in got)
     assert lm.score_texts(empty).collect() == []
+
+
+def test_query_columns_against_loops(spark, tmp_path):
+    texts = [sentence(i, 5 + i) for i in range(40)] + ["", None, "Beta BETA beta", "unseen words here"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))}
+    split = [(t or "").encode().lower().split() + [None] for t in texts]  # None: the end
+    counts = Counter(w for i, words in enumerate(split) if not held[i] for w in words)
+    n, v = sum(counts.values()), len(counts)
+    got = lm.op7_suffix_tree(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert len(rows) == len(texts)
+    for i, words in enumerate(split):
+        r = rows[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(words), sum(counts[w] > 0 for w in words), n)
+        assert abs(r["base_score"] - sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)) < 1e-6
+        assert r["score"] < 0
