@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, dealt, free_name, sorted_runs, table, text_bytes, unite, written
+from .common import components, dealt, discard, free_name, hashed_share, sorted_runs, table, text_bytes, unite, written
 
 SEED = 42
 SHINGLE = 4
@@ -44,6 +44,14 @@ SIMILARITY = 0.8
 WIDE_SEGMENTS = 12
 WIDE_WORDS = 6
 WIDE_BITS = 18
+#: Rows from which shingles are ordered by frequency, shingles listed as repeated there, bits of a set's parities, least
+#: mean number of hashes in a part of a set that has several.
+ORDER_ROWS = 10_000
+ORDER_SHINGLES = 200_000
+PARITIES = 1024
+PART = 64
+#: Columns of a set's rarest hashes: keys; of each part how many of them it has, its size and its parities.
+RARE = ["keys", "firsts", "sizes", "odds"]
 #: Tasks over which the rows of one component are dealt.
 SALTS = 32
 
@@ -263,7 +271,8 @@ def wide_keys(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def close_pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, bits: int = WIDE_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of nodes of a run that connect all of its nodes whose 64 bits differ in ``bits`` at most.
 
-    Short runs are compared together and linked through the first close row; long ones give a spanning forest.
+    Short runs are compared together and linked through the first close row; long ones give a spanning forest. Links
+    that this leaves out, since a pair beside them fails the exact test, are left to :func:`crossing_pairs`.
     """
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     length = np.diff(np.r_[start, len(key)])
@@ -295,6 +304,82 @@ def close_pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, bits: int = W
     return np.maximum(a, b)[a != b], np.minimum(a, b)[a != b]
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """For each of ``PARITIES`` cells whether a set has an odd number of hashes there: sets differ in no fewer hashes than bits."""
+    odd = np.bincount((hashes & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def rarest(hashes: np.ndarray, listed: np.ndarray, count: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the rarest hashes of each part of a set; of each part: how many these are, its size, its 64 parities.
+
+    Parts are by the hash, ``PART`` to twice as many hashes in the mean, so that 64 parities tell parts apart however long the
+    text is. Sets of the similarity reach it in a part at least, and there share one of the rarest hashes of each: those
+    not ``listed``, then by ``count``. A set is cut once more as the shortest one that may be similar to it is cut.
+    """
+    n, least = len(hashes), int(np.ceil(similarity * len(hashes) - 1e-6))
+    rank = np.zeros(n, np.int64)
+    if len(listed):
+        at = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
+        rank = np.where(listed[at] == hashes, count[at], 0)
+    levels = [1 << max(0, (n // PART).bit_length() - 1)]
+    while levels[-1] > 1 and least < PART * levels[-1]:
+        levels.append(levels[-1] // 2)
+    out = []
+    for level in levels:
+        part = (hashes >> np.uint64(20) & np.uint64(level - 1)).astype(np.int64)
+        size = np.bincount(part, minlength=level)
+        odd = np.bincount(part << 6 | (hashes & np.uint64(63)).astype(np.int64), minlength=level << 6) & 1
+        odd = np.packbits(odd.astype(bool)).view(np.int64)
+        first = np.where(size > 0, np.maximum(size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1, 0), 0)
+        first = np.minimum(first, size)
+        kept = np.arange(n) - np.repeat(np.cumsum(size) - size, size) < np.repeat(first, size)
+        mixed = hashes[np.lexsort((hashes, rank, part))[kept]] + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        out.append((mixed.view(np.int64) & (1 << 43) - 1, first[size > 0], size[size > 0], odd[size > 0]))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+def crossing_pairs(key: np.ndarray, node: np.ndarray, root: np.ndarray, at: np.ndarray, odd: np.ndarray, similarity: float = SIMILARITY, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of nodes of a run, of different roots, whose parts may have the similarity, some ``most`` pairs at a time.
+
+    ``at``: size of the part << 32 | place of the shared hash among its rarest. Parts whose first shared hash it is share
+    at most what follows in the shorter rest. So a pair may be left out of one run, never of that of its first shared hash.
+    """
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
+    kept = np.repeat(mixed, np.diff(np.r_[start, len(key)]))
+    if not kept.any():
+        return
+    key, node, root, size, odd = key[kept], node[kept], root[kept], at[kept] >> 32, odd[kept].view(np.uint64)
+    rest = size - (at[kept] & (1 << 32) - 1)
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    length = np.diff(np.r_[start, len(key)])
+    shared, apart = similarity / (1 + similarity), (1 - similarity) / (1 + similarity)
+
+    def met(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = np.flatnonzero((key[i] == key[j]) & (root[i] != root[j]))
+        i, j = i[ok], j[ok]
+        both = size[i] + size[j]
+        ok = (np.minimum(rest[i], rest[j]) >= shared * both - 1e-6) & (np.bitwise_count(odd[i] ^ odd[j]) <= apart * both + 1e-6)
+        a, b = node[i[ok]], node[j[ok]]
+        return np.maximum(a, b), np.minimum(a, b)
+
+    short = np.flatnonzero(np.repeat(length, length) <= SHORT_RUN)
+    for lag in range(1, min(SHORT_RUN, len(short))):
+        yield met(short[:-lag], short[lag:])
+    parts, held = [], 0
+    for s, n in zip(start[length > SHORT_RUN], length[length > SHORT_RUN]):
+        for i in range(s, s + n - 1):
+            j = np.arange(i + 1, s + n)
+            parts.append(met(np.full(len(j), i), j))
+            held += len(parts[-1][0])
+            if held > most or len(parts) > 10_000:
+                yield tuple(map(np.concatenate, zip(*parts)))
+                parts, held = [], 0
+    if parts:
+        yield tuple(map(np.concatenate, zip(*parts)))
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, seed: int = SEED) -> DataFrame:
     """(id, node, root) of every row: texts whose sets of word shingles have the Jaccard ``similarity`` or more are linked.
 
@@ -302,16 +387,25 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fingerprints are wider: of each of ``WIDE_SEGMENTS // 2`` pairs of 23-bit segments all pairs of near codewords are
     buckets. Two segments share one with probability 0.61 at similarity 0.8 and 0.80 at 0.9, so pairs are found with
     probability 0.94 and 0.997. Candidates need ``WIDE_BITS`` equal bits of 64, then the sets themselves decide. A bucket
-    gives pairs that connect its candidates, not all of them. ``node``: texts with equal sets; ``root``:
-    the smallest node reachable. Null, empty and wordless texts are one node; ids should be unique or rows alike.
+    gives pairs that connect its candidates, not all of them.
+
+    The links that all this misses are found exactly: two sets of the similarity share a key of :func:`rarest` (in any
+    order that is the same for all; here a sample's). Every pair that shares one, that the first part did not put into
+    one class, and that sizes, places and parities leave possible, is tested as well. So the classes are those of all
+    pairs. ``node``: texts with equal sets; ``root``: the smallest node reachable. Null, empty and wordless texts are one
+    node; ids should be unique or rows alike.
     """
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(t, shingle, seed) for t in text_bytes(batch.column(1))]
-            node = np.array([xxhash.xxh64_intdigest(x.tobytes(), seed) for x in sets], np.uint64).view(np.int64)
-            packed = [np.packbits(wide_fingerprint(x)).tobytes() for x in sets]
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(node), pa.array(packed, pa.binary())], ["id", "node", "sig"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                own = [shingle_hashes(t, shingle, seed) for t in text_bytes(part.column(1))]
+                node = np.array([xxhash.xxh64_intdigest(x.tobytes(), seed) for x in own], np.uint64).view(np.int64)
+                packed = [np.packbits(wide_fingerprint(x)).tobytes() for x in own]
+                rare = [listing([x.astype(np.int64) for x in column]) for column in zip(*(rarest(x, listed, count, similarity) for x in own))]
+                columns = [pa.array(node), pa.array(packed, pa.binary()), pa.array([len(x) for x in own], pa.int32()), pa.array([parities(x) for x in own], pa.binary())]
+                yield pa.record_batch([part.column(0).cast(pa.int64()), *columns, *rare], ["id", "node", "sig", "size", "parity", *RARE])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,26 +422,70 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if len(a):
                 yield pa.record_batch([pa.array(a), pa.array(b)], ["src", "dst"])
 
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                key, first, size, odd = (part.column(c).flatten().to_numpy() for c in RARE)
+                n = part.column("keys").value_lengths().to_numpy()
+                place = np.arange(len(key)) - np.repeat(np.cumsum(first) - first, first)
+                each = [pa.array(np.repeat(part.column(c).to_numpy(), n)) for c in ("node", "root")]
+                yield pa.record_batch([pa.array(key), *each, pa.array(np.repeat(size << 32, first) | place), pa.array(np.repeat(odd, first))], ["key", "node", "root", "at", "odd"])
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sorted_runs(batches, "run"):
+            for a, b in crossing_pairs(*(part.column(c).to_numpy() for c in ("run", "node", "root", "at", "odd")), similarity):
+                if len(a):
+                    yield pa.record_batch([pa.array(a), pa.array(b)], ["src", "dst"])
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITIES // 64) for c in ("p", "q"))
+            sizes = batch.column("x").to_numpy() + batch.column("y").to_numpy()
+            ok = np.bitwise_count(p ^ q).sum(1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * sizes + 1e-6
+            yield batch.select(["src", "dst"]).filter(pa.array(ok))
+
+    def listing(own: list[np.ndarray]) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate(own)))
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                own = [shingle_hashes(t, shingle, seed).view(np.int64) for t in text_bytes(part.column(1))]
-                ends = pa.array(np.cumsum([0, *map(len, own)]), pa.int32())
-                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own)))], ["node", "hashes"])
+                yield pa.record_batch([part.column(0), listing([shingle_hashes(t, shingle, seed).view(np.int64) for t in text_bytes(part.column(1))])], ["node", "hashes"])
+
+    def agreeing(pairs: DataFrame) -> DataFrame:
+        bounds = distinct.select("node", "parity", "size")
+        pairs = pairs.join(bounds.toDF("src", "p", "x"), "src").join(bounds.toDF("dst", "q", "y"), "dst").mapInArrow(possible, "src long, dst long")
+        pairs = written(pairs, "pairs")
+        asked = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(distinct.select("node", F.col("rep").alias("id")), "node")
+        own = written(rows.join(asked, "id").dropDuplicates(["node"]).select("node", "text").mapInArrow(sets, "node long, hashes array<long>"), "sets")
+        both = pairs.join(own.toDF("src", "x"), "src").join(own.toDF("dst", "y"), "dst").withColumn("shared", F.size(F.array_intersect("x", "y")))
+        links = written(both.where(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared")) - 1e-9).select("src", "dst"), "links")
+        discard(own)
+        return links
 
     _tables()  # made once here and sent along with the kernels
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    fps = written(rows.mapInArrow(marks, "id long, node long, sig binary"), "signatures")
-    distinct = written(fps.groupBy("node").agg(F.min_by(F.struct("id", "sig"), "id").alias("x")).select("node", F.col("x.id").alias("rep"), F.col("x.sig").alias("sig")), "nodes")
+    sample = rows.where(hashed_share("id") < ORDER_ROWS / max(1, rows.count())).select(F.xxhash64("text").alias("node"), "text").dropDuplicates(["node"])
+    often = sample.mapInArrow(sets, "node long, hashes array<long>").select(F.explode("hashes").alias("hash")).groupBy("hash").count().where("count > 1")
+    top = often.orderBy(F.desc("count"), "hash").limit(ORDER_SHINGLES).toArrow()
+    listed, count = top["hash"].to_numpy().view(np.uint64), top["count"].to_numpy()
+    listed, count = listed[by := np.argsort(listed)], count[by]
+    fps = written(rows.mapInArrow(marks, f"id long, node long, sig binary, size int, parity binary, {', '.join(f'{c} array<long>' for c in RARE)}"), "signatures")
+    first = F.min_by(F.struct("id", "sig", "size", "parity", *RARE), "id").alias("x")
+    distinct = written(fps.groupBy("node").agg(first).select("node", F.col("x.id").alias("rep"), *(F.col(f"x.{c}") for c in ("sig", "size", "parity", *RARE))), "nodes")
+    ids = written(fps.select("id", "node"), "ids")
+    discard(fps)
     buckets = distinct.select("node", "sig").mapInArrow(spread, "key long, node long, fp long")
-    pairs = written(dealt(buckets, buckets.select("key"), "node").mapInArrow(compare, "src long, dst long").distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(distinct.select("node", F.col("rep").alias("id")), "node")
-    own = written(rows.join(asked, "id").dropDuplicates(["node"]).select("node", "text").mapInArrow(sets, "node long, hashes array<long>"), "sets")
-    both = pairs.join(own.toDF("src", "x"), "src").join(own.toDF("dst", "y"), "dst").withColumn("shared", F.size(F.array_intersect("x", "y")))
-    links = both.where(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared")) - 1e-9).select("src", "dst")
+    near = agreeing(dealt(buckets, buckets.select("key"), "node").mapInArrow(compare, "src long, dst long").distinct())
+    roots = components(near).withColumnRenamed("node", "_node")
+    classes = distinct.select("node", *RARE).join(roots, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root"), *RARE)
+    buckets = classes.mapInArrow(shared, "key long, node long, root long, at long, odd long")
+    pairs = dealt(buckets, distinct.select(F.explode("keys").alias("key")), "node").mapInArrow(cross, "src long, dst long").distinct()
+    links = roots.select(F.col("_node").alias("src"), F.col("root").alias("dst")).unionByName(agreeing(pairs))
     roots = components(links).withColumnRenamed("node", "_node")
-    return fps.select("id", "node").join(roots, F.col("node") == F.col("_node"), "left").select("id", "node", F.coalesce("root", "node").alias("root"))
+    return ids.join(roots, F.col("node") == F.col("_node"), "left").select("id", "node", F.coalesce("root", "node").alias("root"))
 
 
 def deduplicated(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:

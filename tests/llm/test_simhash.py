@@ -150,6 +150,73 @@ def test_similar_texts_against_all_pairs(spark):
     assert np.mean([got[i] == got[j] for i, j in near]) > 0.99
 
 
+def classes_of_all_pairs(texts):
+    root = list(range(len(texts)))
+    own = [set(sh.shingle_hashes(t.encode()).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j]) - 1e-9]
+    while any(root[i] != root[j] for i, j in pairs):
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    return sorted(sorted(i for i in range(len(texts)) if root[i] == r) for r in set(root))
+
+
+def found_classes(spark, texts):
+    groups = {}
+    for r in sh.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        groups.setdefault(r["root"], []).append(r["id"])
+    return sorted(map(sorted, groups.values()))
+
+
+def test_no_link_at_the_threshold_is_left_out(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for i in range(200):  # 40 of 50 shingles shared, or 80 of 100; and one word more changed, which is too much
+        w, at = [f"a{x}" for x in rng.integers(0, 10**6, 49 + 45 * (i % 2))], [20, 60][: 1 + i % 2]
+        texts += [" ".join(w), " ".join("other" if j in at else x for j, x in enumerate(w)), " ".join("third" if j in [*at, 30] else x for j, x in enumerate(w))]
+    want = classes_of_all_pairs(texts)
+    assert {len(c) for c in want} == {1, 2} and sum(len(c) == 2 for c in want) == 200
+    assert found_classes(spark, texts) == want
+
+
+@pytest.mark.parametrize("run", [2, 24])
+def test_links_of_crowded_buckets_are_those_of_all_pairs(spark, monkeypatch, run):
+    from loomtext.llm import common
+
+    monkeypatch.setattr(sh, "SHORT_RUN", run)
+    monkeypatch.setattr(sh, "dealt", lambda r, c, i: common.dealt(r, c, i, most=7))
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for _ in range(300):  # copies with up to five words changed: about half of the pairs meet the threshold
+        w = list(base)
+        for i in rng.integers(0, 100, rng.integers(0, 6)):
+            w[i] = f"x{rng.integers(10**6)}"
+        texts.append(" ".join(w[: rng.integers(70, 101)]))
+    assert found_classes(spark, texts) == classes_of_all_pairs(texts)
+
+
+def test_crossing_pairs_and_bounds_lose_no_pair():
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 2**63, 400).astype(np.uint64)
+    sets = [np.unique(np.r_[rng.choice(base, n), rng.integers(0, 2**63, rng.integers(0, 9)).astype(np.uint64)]) for n in [*rng.integers(1, 300, 60), *range(60, 90)]]
+    sets += [np.unique(np.r_[s[rng.random(len(s)) > 0.08], np.uint64(i)]) for i, s in enumerate(sets)]
+    listed = np.sort(rng.choice(base, 50, replace=False))
+    rows = []
+    for i, x in enumerate(sets):
+        keys, first, size, odd = sh.rarest(x, listed, np.arange(50) % 7 + 2)
+        place = np.concatenate([np.arange(n) for n in first])
+        rows += sorted((int(k), i, i, int(n) << 32 | int(at), int(o)) for k, n, at, o in zip(keys, np.repeat(size, first), place, np.repeat(odd, first)))
+    rows.sort()
+    got = {(int(x), int(y)) for a, b in sh.crossing_pairs(*np.array(rows, np.int64).T, most=50) for x, y in zip(a, b)}
+    shared = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(i)}
+    want = {(i, j) for (i, j), n in shared.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9}
+    assert len(want) > 40 and want <= got
+    for (i, j), n in shared.items():
+        differ = sum(bin(x ^ y).count("1") for x, y in zip(sh.parities(sets[i]), sh.parities(sets[j])))
+        assert differ <= len(sets[i]) + len(sets[j]) - 2 * n
+    assert list(sh.crossing_pairs(*(np.array(x) for x in ([1, 1], [5, 6], [5, 5], [9 << 32] * 2, [0, 0])))) == []
+
+
 def test_a_large_group_of_similar_texts_is_one(spark, monkeypatch):
     monkeypatch.setattr(sh, "SHORT_RUN", 5)
     words = [f"w{i}" for i in range(300)]
