@@ -50,6 +50,9 @@ ORDER_ROWS = 10_000
 ORDER_SHINGLES = 200_000
 PARITIES = 1024
 PART = 64
+#: Hashes that count as one more row where sets are dealt; pairs of a row that are tested at a time.
+ROW_HASHES = 200
+TESTED = 256
 #: Columns of a set's rarest hashes: keys; of each part how many of them it has, its size and its parities.
 RARE = ["keys", "firsts", "sizes", "odds"]
 #: Tasks over which the rows of one component are dealt.
@@ -380,6 +383,55 @@ def crossing_pairs(key: np.ndarray, node: np.ndarray, root: np.ndarray, at: np.n
         yield tuple(map(np.concatenate, zip(*parts)))
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the pairs that connect all that the pairs connect, without a cycle."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    x, y, parent = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    left, right = [a[:0]], [b[:0]]
+    while len(live := np.flatnonzero(parent[x] != parent[y])):
+        x, y = x[live], y[live]
+        high, low = np.maximum(parent[x], parent[y]), np.minimum(parent[x], parent[y])
+        classes, first = np.unique(high, return_index=True)  # each hooks to one smaller class
+        left.append(nodes[x[first]])
+        right.append(nodes[y[first]])
+        parent[classes] = low[first]
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    return np.concatenate(left), np.concatenate(right)
+
+
+def similar_pairs(node: np.ndarray, root: np.ndarray, block: np.ndarray, size: np.ndarray, values: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes that connect all nodes of different roots whose sets have the similarity, by all pairs of the nodes.
+
+    ``values``: the ascending hashes of the sets, one set after the other. Rows of one block (-1: none) met elsewhere.
+    """
+    label, end = np.unique(root, return_inverse=True)[1], np.cumsum(size)
+    own = [values[e - n : e] for e, n in zip(end, size)]
+    odd = np.frombuffer(b"".join(parities(x) for x in own), np.uint64).reshape(len(own), -1)
+    apart = (1 - similarity) / (1 + similarity)
+    left, right = [node[:0]], [node[:0]]
+    for i in range(len(own) - 1 if label.any() else 0):
+        other = (label[i + 1 :] != label[i]) & ((block[i + 1 :] != block[i]) | (block[i] < 0))
+        both = size[i] + size[i + 1 :]
+        j = i + 1 + np.flatnonzero(other & (np.abs(size[i] - size[i + 1 :]) <= apart * both + 1e-6))
+        # sets of similar sizes whose parities allow it are compared in full
+        j = j[np.bitwise_count(odd[j] ^ odd[i]).sum(1, dtype=np.int64) <= apart * (size[i] + size[j]) + 1e-6]
+        for at in range(0, len(j), TESTED):
+            k = j[at : at + TESTED]
+            k = k[label[k] != label[i]]
+            if not len(k):
+                continue
+            hashes = np.concatenate([own[x] for x in k])
+            found = own[i][np.minimum(np.searchsorted(own[i], hashes), size[i] - 1)] == hashes
+            shared = np.add.reduceat(found, np.cumsum(size[k]) - size[k], dtype=np.int64)
+            k = k[shared >= similarity * (size[i] + size[k] - shared) - 1e-9]
+            met = unite(label, np.r_[i, k])
+            left.append(np.full(len(met), node[i]))
+            right.append(node[met])
+    a, b = np.concatenate(left), np.concatenate(right)
+    return np.maximum(a, b)[a != b], np.minimum(a, b)[a != b]
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, seed: int = SEED) -> DataFrame:
     """(id, node, root) of every row: texts whose sets of word shingles have the Jaccard ``similarity`` or more are linked.
 
@@ -390,9 +442,11 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gives pairs that connect its candidates, not all of them.
 
     The links that all this misses are found exactly: two sets of the similarity share a key of :func:`rarest` (in any
-    order that is the same for all; here a sample's). Every pair that shares one, that the first part did not put into
-    one class, and that sizes, places and parities leave possible, is tested as well. So the classes are those of all
-    pairs. ``node``: texts with equal sets; ``root``: the smallest node reachable. Null, empty and wordless texts are one
+    order that is the same for all; here a sample's). Pairs that share one, that the first part did not put into one class,
+    and that sizes, places and parities leave possible, grow with the square of a group of texts that are nearly similar.
+    So a bucket gives a forest of them; sets that these connect meet, in blocks of bounded size, where every pair of
+    different classes is tested, and give a forest of their links. So the classes are those of all pairs, and rows of
+    this pass grow with the texts. ``node``: texts with equal sets; ``root``: the smallest node reachable. Null, empty and wordless texts are one
     node; ids should be unique or rows alike.
     """
 
@@ -434,7 +488,22 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sorted_runs(batches, "run"):
-            for a, b in crossing_pairs(*(part.column(c).to_numpy() for c in ("run", "node", "root", "at", "odd")), similarity):
+            held = [np.empty(0, np.int64)] * 2
+            for pairs in crossing_pairs(*(part.column(c).to_numpy() for c in ("run", "node", "root", "at", "odd")), similarity):
+                if len(pairs[0]):
+                    held = forest(*map(np.concatenate, zip(held, pairs)))
+            if len(held[0]):
+                yield pa.record_batch([pa.array(np.maximum(*held)), pa.array(np.minimum(*held))], ["src", "dst"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sorted_runs(batches, "run"):
+            run = part.column("run").to_numpy()
+            start = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+            for s, n in zip(start, np.diff(np.r_[start, len(run)])):
+                unit = part.slice(s, n)
+                hashes = unit.column("hashes").combine_chunks()
+                columns = [unit.column(c).to_numpy() for c in ("node", "root", "block")]
+                a, b = similar_pairs(*columns, hashes.value_lengths().to_numpy().astype(np.int64), hashes.flatten().to_numpy().view(np.uint64), similarity)
                 if len(a):
                     yield pa.record_batch([pa.array(a), pa.array(b)], ["src", "dst"])
 
@@ -454,17 +523,30 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 part = batch.slice(at, 256)
                 yield pa.record_batch([part.column(0), listing([shingle_hashes(t, shingle, seed).view(np.int64) for t in text_bytes(part.column(1))])], ["node", "hashes"])
 
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        asked = nodes.join(distinct.select("node", F.col("rep").alias("id")), "node")
+        return written(rows.join(asked, "id").dropDuplicates(["node"]).select("node", "text").mapInArrow(sets, "node long, hashes array<long>"), "sets")
+
     def agreeing(pairs: DataFrame) -> DataFrame:
         bounds = distinct.select("node", "parity", "size")
         pairs = pairs.join(bounds.toDF("src", "p", "x"), "src").join(bounds.toDF("dst", "q", "y"), "dst").mapInArrow(possible, "src long, dst long")
         pairs = written(pairs, "pairs")
-        asked = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(distinct.select("node", F.col("rep").alias("id")), "node")
-        own = written(rows.join(asked, "id").dropDuplicates(["node"]).select("node", "text").mapInArrow(sets, "node long, hashes array<long>"), "sets")
+        own = sets_of(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
         both = pairs.join(own.toDF("src", "x"), "src").join(own.toDF("dst", "y"), "dst").withColumn("shared", F.size(F.array_intersect("x", "y")))
         links = written(both.where(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared")) - 1e-9).select("src", "dst"), "links")
         discard(own)
         return links
 
+    def linked(pairs: DataFrame) -> DataFrame:
+        groups = components(pairs).select("node", F.col("root").bitwiseAND((1 << 43) - 1).alias("key"))
+        own = sets_of(groups.select("node"))
+        units = groups.join(classes.select("node", "root"), "node").join(own, "node")
+        # a long set counts as several rows, so that a unit's sets fit in memory
+        counted = units.select("key", F.explode(F.sequence(F.lit(0), F.expr(f"size(hashes) div {ROW_HASHES}"))))
+        links = written(dealt(units, counted.select("key"), "node").mapInArrow(within, "src long, dst long"), "links")
+        discard(own)
+        return links
+
     _tables()  # made once here and sent along with the kernels
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sample = rows.where(hashed_share("id") < ORDER_ROWS / max(1, rows.count())).select(F.xxhash64("text").alias("node"), "text").dropDuplicates(["node"])
@@ -483,7 +565,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = distinct.select("node", *RARE).join(roots, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root"), *RARE)
     buckets = classes.mapInArrow(shared, "key long, node long, root long, at long, odd long")
     pairs = dealt(buckets, distinct.select(F.explode("keys").alias("key")), "node").mapInArrow(cross, "src long, dst long").distinct()
-    links = roots.select(F.col("_node").alias("src"), F.col("root").alias("dst")).unionByName(agreeing(pairs))
+    links = roots.select(F.col("_node").alias("src"), F.col("root").alias("dst")).unionByName(linked(pairs))
     roots = components(links).withColumnRenamed("node", "_node")
     return ids.join(roots, F.col("node") == F.col("_node"), "left").select("id", "node", F.coalesce("root", "node").alias("root"))
 

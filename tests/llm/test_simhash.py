@@ -217,6 +217,72 @@ def test_crossing_pairs_and_bounds_lose_no_pair():
     assert list(sh.crossing_pairs(*(np.array(x) for x in ([1, 1], [5, 6], [5, 5], [9 << 32] * 2, [0, 0])))) == []
 
 
+def test_rows_grow_with_the_texts_of_a_group_not_its_pairs(spark, monkeypatch):
+    """Pairs just below the similarity are all tested, but in kernels: no table holds one row for each of them."""
+    rows, real, n = [], sh.written, 60
+
+    def counted(df, name):
+        out = real(df, name)
+        rows.append((out.count(), name))
+        return out
+
+    rng = np.random.default_rng(17)
+    base = [f"w{i}" for i in range(2000)]
+    texts = []
+    for _ in range(n):  # some 0.75 alike, which sizes and parities of such long texts cannot tell from 0.8
+        w = list(base)
+        for i in rng.choice(400, 29, replace=False):
+            w[5 * i] = f"x{rng.integers(10**6)}"
+        texts.append(" ".join(w))
+    texts += [" ".join([*t.split()[:-1], "end"]) for t in texts[:5]]
+    want = classes_of_all_pairs(texts)
+    assert len(want) == n
+    empty = np.empty(0, np.int64)
+    monkeypatch.setattr(sh, "close_pairs", lambda *_: (empty, empty))  # all is left to the exact pass
+    monkeypatch.setattr(sh, "written", counted)
+    assert found_classes(spark, texts) == want
+    assert max(rows)[0] <= 4 * n
+
+
+@pytest.mark.parametrize("most", [20_000, 7])
+def test_sets_that_meet_are_linked_as_by_all_pairs(spark, monkeypatch, most):
+    from loomtext.llm import common
+
+    monkeypatch.setattr(sh, "dealt", lambda r, c, i: common.dealt(r, c, i, most=most))
+    monkeypatch.setattr(sh, "TESTED", 3)
+    empty = np.empty(0, np.int64)
+    monkeypatch.setattr(sh, "close_pairs", lambda *_: (empty, empty))
+    rng = np.random.default_rng(18)
+    texts = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(60 + 150 * g)]
+        for _ in range(30):
+            w = list(base)
+            for i in rng.integers(0, len(w), rng.integers(0, 3 + 3 * g)):
+                w[i] = f"x{rng.integers(10**6)}"
+            texts.append(" ".join(w))
+    assert found_classes(spark, texts) == classes_of_all_pairs(texts)
+
+
+def test_forest_connects_what_the_pairs_connect():
+    rng = np.random.default_rng(19)
+    for n in (1, 2, 30, 300):
+        a, b = rng.integers(-(2**62), 2**62, 100)[rng.integers(0, 100, (2, n))]
+        x, y = sh.forest(a, b)
+        pairs, kept = set(zip(a.tolist(), b.tolist())), list(zip(x.tolist(), y.tolist()))
+        assert set(kept) <= pairs
+
+        def classes(links):
+            root = {v: v for v in np.r_[a, b].tolist()}
+            for _ in root:
+                for p, q in links:
+                    root[p] = root[q] = min(root[p], root[q])
+            return root
+
+        assert classes(kept) == classes(pairs)
+        assert len(kept) == len(classes(pairs)) - len(set(classes(pairs).values()))
+
+
 def test_a_large_group_of_similar_texts_is_one(spark, monkeypatch):
     monkeypatch.setattr(sh, "SHORT_RUN", 5)
     words = [f"w{i}" for i in range(300)]
