@@ -25,3 +25,19 @@ def test_pairs_of_a_nation_are_dealt(spark):
     got = titles.cjk_title_score(spark, DATA)
     used = got.select(F.spark_partition_id().alias("part")).distinct().count()
     assert got.count() > 0 and used > 8
+
+
+def test_pairs_of_entries_are_not_dealt_again(spark):
+    from test_reuse_growth import records
+
+    from loomtext.operators import title_match
+    from loomtext.params import TitleParams
+
+    n = 250
+    left = [(i, "heart of perfect wisdom") for i in range(n)] + [(n, "lotus sutra"), (n, "diamond cutter discourse")]
+    right = [(i, "perfect wisdom of heart") for i in range(n)] + [(n, "Lotus Sutra"), (n, "diamond cuter discourse"), (n, "heart of perfect wisdom")]
+    sides = [title_match.normalised(spark.createDataFrame(x, "id int, title string")) for x in (left, right)]
+    before = records(spark)
+    got = [tuple(r) for r in title_match.match(*sides, TitleParams()).select("left_id", "right_id", "kind").collect()]
+    assert sorted(got) == sorted([(i, j, "token") for i in range(n) for j in range(n)] + [(n, n, "exact")] + [(i, n, "exact") for i in range(n)])
+    assert records(spark) - before < n * n / 4
