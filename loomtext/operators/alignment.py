@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
 from typing import NamedTuple
 
 import pandas as pd
@@ -18,17 +18,24 @@ from pyspark.sql.window import Window
 
 from ..functions.text import grams, words
 from ..params import PhoneticParams, ReuseParams
+from .grams import places as gram_places
+from .grams import sent
 
 
-def _kgrams(texts: DataFrame, k: int, tokens: Callable[[Column], Column]) -> DataFrame:
+def _kgrams(texts: DataFrame, k: int, tokens: Callable[[Column], Column], kept: Collection[str] | None = None) -> DataFrame:
+    if tokens is words:
+        return gram_places(texts.select("id", "text"), k, kept).withColumnRenamed("gram", "kgram")
     split = texts.select("id", tokens(F.col("text")).alias("w"))  # a column of its own: not split anew for each gram
     return split.select("id", F.posexplode(grams(F.col("w"), k)).alias("pos", "kgram"))
 
 
 def seed_hits(digests: DataFrame, sources: DataFrame, k: int, tokens: Callable[[Column], Column] = words) -> DataFrame:
-    """(digest_id, source_id, d_pos, s_pos): all places where k tokens agree; an equi-join on the k-gram."""
+    """(digest_id, source_id, d_pos, s_pos): all places where k tokens agree; an equi-join on the k-gram.
+
+    Where digests have few k-grams of words, others of the sources are never rows.
+    """
     d = _kgrams(digests, k, tokens).select(F.col("id").alias("digest_id"), F.col("pos").alias("d_pos"), "kgram")
-    s = _kgrams(sources, k, tokens).select(F.col("id").alias("source_id"), F.col("pos").alias("s_pos"), "kgram")
+    s = _kgrams(sources, k, tokens, sent(d, "kgram") if tokens is words else None).select(F.col("id").alias("source_id"), F.col("pos").alias("s_pos"), "kgram")
     return d.join(s, "kgram").select("digest_id", "source_id", F.col("d_pos").cast("long").alias("d_pos"), F.col("s_pos").cast("long").alias("s_pos"))
 
 
@@ -242,13 +249,14 @@ def align_pairs(pairs: DataFrame, digests: DataFrame, sources: DataFrame, p: Reu
     already and are not looked through for it again. Pairs with an unknown text are left out.
     """
     d = digests.select(F.col("id").alias("digest_id"), tokens(F.col("text")).alias("d"))
-    s = sources.select(F.col("id").alias("source_id"), tokens(F.col("text")).alias("s"))
+    s = sources.select(F.col("id").alias("source_id"), F.col("text").alias("_text"))
     known = F.col("from_phonetic") if "from_phonetic" in pairs.columns else F.lit(False)
     own = pairs.groupBy("digest_id", "source_id").agg(F.max(known).alias("known"))
     groups = own.groupBy("source_id").agg(F.ceil(F.count("*") / together).cast("int").alias("groups"))
     # the source's tokens go once to each group, not once to each pair
     keyed = own.join(groups, "source_id").join(d, "digest_id").withColumn("part", F.pmod(F.xxhash64("digest_id"), F.col("groups")).cast("int")).drop("groups")
-    needed = keyed.select("source_id", "part").distinct().join(s, "source_id").select(F.col("source_id").alias("owner"), F.col("part").alias("share"), "s")
+    # texts are split into tokens once it is known that they are needed
+    needed = keyed.select("source_id", "part").distinct().join(s, "source_id").select(F.col("source_id").alias("owner"), F.col("part").alias("share"), tokens(F.col("_text")).alias("s"))
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []

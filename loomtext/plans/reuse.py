@@ -191,11 +191,14 @@ def passages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return items, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
+def passage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_contamination(spark, sf_dir).select(F.col("item_id").alias("digest_id"), F.col("doc_id").alias("source_id"))
+
+
 @query()
 def align_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seed-and-extend alignment of each passage with each document that shares enough of it."""
-    pairs = benchmark_contamination(spark, sf_dir).select(F.col("item_id").alias("digest_id"), F.col("doc_id").alias("source_id"))
-    return alignment.align_pairs(pairs, *passages(spark, sf_dir), P)
+    return alignment.align_pairs(passage_pairs(spark, sf_dir), *passages(spark, sf_dir), P)
 
 
 @query(f"""WITH {DOC_GRAMS},
@@ -207,9 +210,11 @@ pairs AS (SELECT id, doc_id FROM m JOIN totals USING (id) WHERE matching / total
 SELECT id AS digest_id, doc_id AS source_id, CAST(len(w) AS BIGINT) AS tiled, CAST(0 AS BIGINT) AS first_start, CAST(0 AS BIGINT) AS gaps, true AS exact_ok FROM pairs JOIN items USING (id)""")
 def alignment_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segments of each pair cover its passage once, without gaps, and exact ones say the same on both sides."""
-    segments = align_segments(spark, sf_dir)
+    pairs, (items, docs) = passage_pairs(spark, sf_dir), passages(spark, sf_dir)
+    segments = alignment.align_pairs(pairs, items, docs, P)
     before = F.lag("digest_end").over(Window.partitionBy("digest_id", "source_id").orderBy("segment"))
-    items, docs = (x.select(F.col("id").alias(i), tx.words(F.col("text")).alias(w)) for x, i, w in zip(passages(spark, sf_dir), ("digest_id", "source_id"), ("d", "s")))
+    docs = docs.join(pairs.select(F.col("source_id").alias("id")).distinct(), "id")  # before they are split into words
+    items, docs = (x.select(F.col("id").alias(i), tx.words(F.col("text")).alias(w)) for x, i, w in zip((items, docs), ("digest_id", "source_id"), ("d", "s")))
     marked = segments.withColumn("gap", F.coalesce(F.col("digest_start") - before, F.lit(0))).join(items, "digest_id").join(docs, "source_id")
     part = lambda w, a, b: F.slice(F.col(w), F.col(a).cast("int") + 1, (F.col(b) - F.col(a)).cast("int"))
     same = (F.col("match_type") != "exact") | (part("d", "digest_start", "digest_end") == part("s", "source_start", "source_end"))

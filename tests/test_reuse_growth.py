@@ -100,3 +100,15 @@ def test_grams_in_kernels_are_those_of_columns(spark):
     assert sorted(map(tuple, grams.places(texts, 5).collect())) == sorted(map(tuple, want.collect()))
     assert sorted(map(tuple, grams.gram_table(texts, "id", "text", 5).collect())) == sorted(map(tuple, want.select("id", "gram").distinct().collect()))
     assert [tuple(r) for r in grams.places(texts, 5, {"b c d e a"}).orderBy("pos").collect()] == [(5, 1, "b c d e a"), (5, 6, "b c d e a")]
+
+
+def test_many_grams_are_joined_with_the_same_result(spark, sf_dir, tmp_path, monkeypatch):
+    from loomtext.operators import alignment
+
+    texts = spark.createDataFrame([(i, t) for i, t, *_ in corpus()], "id long, text string")
+    asked = texts.where("id % 40 = 3")
+    found = lambda: sorted(map(tuple, alignment.seed_hits(asked, texts, 5).collect()))
+    few = found()
+    assert len(few) > 20
+    monkeypatch.setattr(grams, "SENT", 3)
+    assert grams.sent(grams.gram_table(asked, "id", "text", 5)) is None and found() == few
